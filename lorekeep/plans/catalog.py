@@ -1,0 +1,9 @@
+"""Queries by name."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
