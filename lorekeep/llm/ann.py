@@ -5,7 +5,7 @@ inverted files, one per pivot, with the pivot's place in the vector's order. A q
 posted vector, how far each shared pivot's place differs; a pivot missing from a prefix counts as the place after it. That is the footrule distance of the
 two prefixes. The vectors nearest by it are scored exactly on the original vectors. Every row is indexed; each partition reranks its own share.
 
-Bounds: PIVOTS pivots from a sample of SAMPLE rows (smallest hashes of the id), prefix PREFIX, and of a partition's vectors the nearest tenth by footrule, FLOOR at least,
+Bounds: PIVOTS pivots from a sample of SAMPLE rows (smallest hashes of the id), prefix PREFIX, and of a partition's vectors the SHARE nearest by footrule, FLOOR at least,
 are reranked. Measured recall is in the README.
 
 Edge cases: see blocks.py; zero vectors take no part. Fewer than k candidates give all of them. An empty table gives no rows. Extra columns do not take part.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .blocks import arrays, fitted, matrix, query_blocks, usable
 from .common import cut
 
-PIVOTS, SAMPLE, PREFIX, SHARE, FLOOR = 128, 1_024, 16, 0.15, 512
+PIVOTS, SAMPLE, PREFIX, SHARE, FLOOR = 128, 1_024, 48, 0.15, 512
 #: Vectors of one inverted file set; a partition with more has several.
 SHARD = 16_384
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, mixing, topk, warc
+from . import ann, bpe, chat, line_dedup, mixing, near_dup, quality, topk, warc
 from .common import discard, scratch, table
 
 #: Where op5 finds the vocabulary; None: the installed public tokenizers.
@@ -56,13 +56,30 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_loss_mask(chat.format_conversations(rows.unionByName(own))))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document, and whether the document stays for it."""
+    x = near_dup.classes(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document, the bounds of its language, and the decision."""
+    x = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return x.select("doc_id", "lang", "perplexity", "low", "high", "kept")
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that other lines stand for."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each of the queries (vec_id divisible by 50): its 5 nearest found by cosine."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_topk, op3_warc, op4_mixing, op5_bpe, op6_chat, op10_ann)}
+    return {f.__name__: f for f in (op2_topk, op3_warc, op4_mixing, op5_bpe, op6_chat, op7_minhash, op8_quality, op9_lines, op10_ann)}
 
 
 #: SQL that DuckDB runs; queries without an entry are tested against brute force.

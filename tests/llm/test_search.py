@@ -48,8 +48,8 @@ def integer(a, b):
 
 def test_top_k(spark):
     df = spark.createDataFrame(rows(300), SCHEMA).repartition(5)
-    for bins in (4, 1024):
-        got = topk.top_k(df, F.col("id") % 10 == 0, k=10, bins=bins, block=7)
+    for bins, block in ((64, 2048), (1024, 20)):
+        got = topk.top_k(df, F.col("id") % 10 == 0, k=10, bins=bins, block=block)
         assert {tuple(r) for r in got.collect()} == brute(clean(df), lambda i: i % 10 == 0, 10, integer)
 
 
