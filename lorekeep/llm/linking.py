@@ -26,10 +26,19 @@ FAR, NEAR, LINKED = 0, 1, 2
 def candidates_and_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = FEW) -> DataFrame:
     """nodes: id long (unique, not null), keys array<long> (the signatures, by position). verify: pairs (a, b), a < b -> (a, b, grade).
     Returns the links (a, b)."""
-    positions = nodes.agg(F.max(F.size("keys"))).first()[0] or 0
     rows = nodes.select("id", F.posexplode("keys").alias("pos", "key")).select("id", "pos", F.xxhash64("pos", "key").alias("bucket"))
-    found = []
-    for level in range(max(1, positions)):
+
+    def finer(rest: DataFrame, level: int) -> DataFrame:
+        again = rest.join(nodes, "id").select("id", "bucket", F.col("pos").alias("was"), F.posexplode("keys").alias("pos", "key")).where("pos > was")
+        return again.select("id", "pos", F.xxhash64("bucket", "pos", "key").alias("bucket"))
+
+    return links_in_buckets(rows, verify, finer, few)
+
+
+def links_in_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame, int], DataFrame], few: int = FEW) -> DataFrame:
+    """rows: id, pos, bucket (distinct). verify as above. finer: rows that go on, and the level they come from -> rows with their next buckets."""
+    found, level = [], 0
+    while True:
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")
         sizes = cut(sizes)
         pairs = [sizes.where("n = 2").select("a", "b")]
@@ -54,8 +63,8 @@ def candidates_and_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFra
         rest = cut(rest)
         if rest.isEmpty():
             break
-        again = rest.join(nodes, "id").select("id", "bucket", F.col("pos").alias("was"), F.posexplode("keys").alias("pos", "key")).where("pos > was")
-        rows = cut(again.select("id", "pos", F.xxhash64("bucket", "pos", "key").alias("bucket")))
+        rows = cut(finer(rest, level))
+        level += 1
     return reduce(DataFrame.unionByName, found).distinct()
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, small, text_of
 from .linking import FAR, LINKED, NEAR, candidates_and_links, components
@@ -199,6 +199,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the rows whose class another document stands for, and without repeats of the row that stands for it. Rows without an id stay."""
-    gone = cut(classes(docs).where("doc_id <> class_id").select("doc_id").distinct())
+    found = cut(classes(docs))
+    gone = cut(found.where("doc_id <> class_id").select("doc_id").distinct())
     kept = docs.join(small(gone, 200_000), "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    again = cut(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    again = small(again, 200_000)
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

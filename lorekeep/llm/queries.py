@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, line_dedup, mixing, near_dup, quality, topk, warc
+from . import ann, bpe, chat, line_dedup, mixing, near_dup, quality, substring, topk, warc
 from .common import discard, scratch, table
 
 #: Where op5 finds the vocabulary; None: the installed public tokenizers.
 BPE_RANKS: str | None = None
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document by passages shared with others, and its verified links."""
+    return substring.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each of the queries (vec_id divisible by 100): its 10 highest integer inner products."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
@@ -79,7 +84,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_topk, op3_warc, op4_mixing, op5_bpe, op6_chat, op7_minhash, op8_quality, op9_lines, op10_ann)}
+    return {f.__name__: f for f in (op1_substring, op2_topk, op3_warc, op4_mixing, op5_bpe, op6_chat, op7_minhash, op8_quality, op9_lines, op10_ann)}
 
 
 #: SQL that DuckDB runs; queries without an entry are tested against brute force.
