@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import ann, bpe, chat, line_dedup, mixing, near_dup, quality, substring, topk, warc
-from .common import discard, scratch, table
+from .common import cut, discard, scratch, table
 
 #: Where op5 finds the vocabulary; None: the installed public tokenizers.
 BPE_RANKS: str | None = None
@@ -29,7 +29,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.pages_to_arc(table(spark, sf_dir, "pages"), arc)
     warc.convert_archives(spark, arc, out)
     discard(spark, arc)
-    read = warc.warc_pages(spark, out)
+    read = cut(warc.warc_pages(spark, out))
+    discard(spark, out)
     named = read.where("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page")).distinct()
     x = read.join(named, F.when(F.col("record_type") == "revisit", F.col("refers_to_id")) == F.col("_id"), "left")
     return x.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("_page").alias("refers_to"), F.col("ok").alias("intact"))

@@ -29,6 +29,8 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import cut, small
+
 FILE_BYTES = 16 << 20
 #: Fields of the header line by version.
 FIELDS = {
@@ -260,8 +262,8 @@ def convert_archives(spark: SparkSession, arc: str, warc: str, least: int = 1000
     http = (F.col("payload_bytes") >= least) & ~F.col("url").startswith("filedesc://") & (F.substring("body", 1, 5) == F.lit(b"HTTP/"))
     # digests that repeat, with the record that stays; the others need no look-up
     keys = records.where(http).groupBy("digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "record_id", "url")).alias("first"))
-    kept = keys.where("n > 1").select(F.col("digest").alias("d"), F.col("payload_bytes").alias("b"), "first")
-    x = records.join(kept, (F.when(http, F.col("digest")) == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
+    kept = cut(keys.where("n > 1").select(F.col("digest").alias("d"), F.col("payload_bytes").alias("b"), "first"))
+    x = records.join(small(kept), (F.when(http, F.col("digest")) == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     x = x.select("url", "ip", "date", "kind", "body", F.when(revisit, F.col("first.record_id")).alias("to_id"), F.when(revisit, F.col("first.url")).alias("to_url"))
 
