@@ -13,15 +13,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Pieces kept with their ids in a worker; the store is emptied when full.
-MEMO_PIECES = 200_000
+#: Pieces kept with their ids in a worker, in two generations of so many; a full young one takes the old one's place.
+MEMO_PIECES = 600_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -34,83 +34,69 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return ranks
 
 
-class RankQueue:
-    """Places by merge rank, lowest rank first and, within a rank, leftmost first."""
-
-    BITS = 256
-
-    def __init__(self):
-        self.top = 0
-        self.words: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [place]
-            high, low = divmod(rank, self.BITS)
-            self.words[high] = self.words.get(high, 0) | 1 << low
-            self.top |= 1 << high
-        else:
-            heapq.heappush(bucket, place)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        high = (self.top & -self.top).bit_length() - 1
-        word = self.words[high]
-        low = (word & -word).bit_length() - 1
-        rank = high * self.BITS + low
-        bucket = self.buckets[rank]
-        place = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            word &= word - 1
-            self.words[high] = word
-            if not word:
-                self.top &= self.top - 1
-        return rank, place
+#: Bits of a rank that the lower level of the bitmap tells apart.
+LOW = 8
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The ids of one piece."""
-    whole = ranks.get(piece)
+    """The ids of one piece. The queue (bitmap of two levels, buckets by rank) is written out here, as this is the inner loop."""
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return (whole,)
     n = len(piece)
-    after = list(range(1, n + 2))  # where the part that begins here ends
-    before = list(range(-1, n))
+    after = list(range(1, n + 1))  # where the part that begins here ends
+    before = list(range(-1, n - 1))  # where the part before it begins
     pair = [-1] * n  # rank of the part here with the next one; -1: none, or no part begins here
-    queue = RankQueue()
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
+    buckets: dict[int, list[int]] = {}  # places by rank, leftmost first
+    words: dict[int, int] = {}  # lower level: bits of the non-empty buckets
+    top = 0  # upper level: bits of the words that are not zero
+    fresh = [(i, get(piece[i : i + 2])) for i in range(n - 1)]
+    while True:
+        for i, rank in fresh:
+            if rank is None:
+                pair[i] = -1
+                continue
             pair[i] = rank
-            queue.push(rank, i)
-    while (best := queue.pop()) is not None:
-        rank, i = best
-        if pair[i] != rank:
-            continue  # stale
+            bucket = buckets.get(rank)
+            if bucket is None:
+                buckets[rank] = [i]
+                high = rank >> LOW
+                words[high] = words.get(high, 0) | 1 << (rank & (1 << LOW) - 1)
+                top |= 1 << high
+            else:
+                heappush(bucket, i)
+        while top:
+            high = (top & -top).bit_length() - 1
+            word = words[high]
+            bit = word & -word
+            rank = (high << LOW) + bit.bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                words[high] = word = word ^ bit
+                if not word:
+                    top ^= 1 << high
+            if pair[i] == rank:  # else stale
+                break
+        else:
+            break
         j = after[i]
-        end = after[j]
-        after[i] = end
-        pair[i] = pair[j] = -1
+        end = after[i] = after[j]
+        pair[j] = pair[i] = -1
+        left = before[i]
+        fresh = []
         if end < n:
             before[end] = i
-        for left in (i, before[i]):
-            if left < 0:
-                continue
-            middle = after[left]
-            now = ranks.get(piece[left : after[middle]]) if middle < n else None
-            now = -1 if now is None else now
-            if now != pair[left]:
-                pair[left] = now
-                if now >= 0:
-                    queue.push(now, left)
+            fresh.append((i, get(piece[i : after[end]])))
+        if left >= 0:
+            fresh.append((left, get(piece[left:end])))
     ids, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        end = after[i]
+        ids.append(ranks[piece[i:end]])
+        i = end
     return tuple(ids)
 
 
@@ -121,19 +107,23 @@ class Codec:
         self.ranks = read_ranks(data)
         self.pieces = regex.compile(pattern).findall
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
-        memo, ids = self.memo, []
+        young, ids = self.young, []
+        known = young.get
         for piece in self.pieces(text):
-            got = memo.get(piece)
+            got = known(piece)
             if got is None:
-                got = merge(piece.encode(), self.ranks)
+                got = self.old.get(piece)
+                if got is None:
+                    got = merge(piece.encode(), self.ranks)
                 if len(piece) <= 64:
-                    if len(memo) >= MEMO_PIECES:
-                        memo.clear()
-                    memo[piece] = got
+                    young[piece] = got
             ids += got
+        if len(young) >= MEMO_PIECES:
+            self.old, self.young = young, {}
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
