@@ -1,9 +1,304 @@
-"""Queries by name."""
+"""Queries by name over the driver's tables, which stand in for memories, episodes and turns, and their SQL for DuckDB."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import text as t, vectors as v
+from ..operators import gates, recall as ops, store
+
+QUERY = "the thion Onwh from the her the"
+PROJECT = "src0"
+AXES = ["the", "and", "thion", "que", "der", "license", "token", "tion"]
+NOW = "2026-01-01T00:00:00+00:00"
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _iso(seconds):
+    return F.date_format(F.timestamp_seconds(F.lit(1735689600) + seconds), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def memories(spark, d) -> DataFrame:
+    """Documents as memories."""
+    i, user = F.col("doc_id"), F.col("doc_id") % 3 == 0
+    status = F.when(i % 10 == 0, "archived").when(i % 10 <= 4, "proposed").otherwise("confirmed")
+    return table(spark, d, "documents").select(
+        i.alias("id"), F.col("text").alias("content"), F.element_at(F.array(*map(F.lit, ("preference", "decision", "fact", "gotcha"))), (i % 4 + 1).cast("int")).alias("category"),
+        F.when(user, "user").otherwise("project").alias("scope_type"), F.when(user, "*").otherwise(F.col("source")).alias("scope_key"), status.alias("status"), ((i % 41 + 60) / 100.0).alias("confidence"),
+        _iso(i).alias("created_at"), (i % 17).alias("times_retrieved"), F.when(i % 23 == 0, "x").alias("superseded_by"), F.when(i % 29 == 0, "y").alias("conflict_with"), (i % 50).alias("episode_id"))
+
+
+def vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def turns(spark, d) -> DataFrame:
+    return table(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
+
+
+def transcripts(spark, d) -> DataFrame:
+    x = turns(spark, d).groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").alias("turn_idx"), "role", "text")).alias("turns"))
+    return x.select("conv_id", t.rendered(F.col("turns")).alias("body"))
+
+
+def episodes(spark, d) -> DataFrame:
+    """Conversations as episodes; the summary is the first turn."""
+    i, user = F.col("conv_id"), F.col("conv_id") % 3 == 0
+    x = turns(spark, d).groupBy("conv_id").agg(F.min_by("text", "turn").alias("summary"))
+    return x.select(i.alias("id"), F.concat(F.lit("s"), i).alias("session_id"), F.when(user, "user").otherwise("project").alias("scope_type"), F.when(user, "*").otherwise(PROJECT).alias("scope_key"), "summary", _iso(i * 86400 % 31536000).alias("created_at"))
+
+
+def vector_zero(spark, d) -> list[float]:
+    return list(table(spark, d, "embeddings").where("vec_id = 0").first().embedding)
+
+
+def knn_cosine(spark, d):
+    return v.nearest(vectors(spark, d), vector_zero(spark, d), 20).select("id", F.round("similarity", 4).alias("similarity"))
+
+
+def recall_hybrid(spark, d):
+    return ops.recall(memories(spark, d), vectors(spark, d), QUERY, vector_zero(spark, d), PROJECT).select("id", "category", "status", "score")
+
+
+def recall_user_scope(spark, d):
+    return ops.recall(memories(spark, d), vectors(spark, d), QUERY, vector_zero(spark, d), None, 8).select("id", "scope_type", "scope_key", "score")
+
+
+def recall_episodes_recency(spark, d):
+    return ops.recall_episodes(episodes(spark, d), vectors(spark, d), vector_zero(spark, d), NOW, PROJECT)
+
+
+def _asked(spark, d):
+    """Benchmark items as a batch of candidate facts."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), v.axis_vector(F.col("text"), AXES).alias("q"), F.lit("user").alias("scope_type"), F.lit("*").alias("scope_key"))
+
+
+def find_similar(spark, d):
+    m = memories(spark, d)
+    return ops.find_similar(_asked(spark, d), m, m.select("id", v.axis_vector(F.col("content"), AXES).alias("embedding"))).select("query_id", F.round("similarity", 4).alias("similarity"))
+
+
+def dedup_decision(spark, d):
+    m, asked = memories(spark, d), _asked(spark, d)
+    found = ops.find_similar(asked, m, m.select("id", v.axis_vector(F.col("content"), AXES).alias("embedding")))
+    return ops.decide(asked, found).select("query_id", "action")
+
+
+def read_episode_facts(spark, d):
+    return ops.read_episode(episodes(spark, d), memories(spark, d)).select("id", F.array_join(F.transform("fact_ids", lambda x: x.cast("string")), ",").alias("fact_ids"))
+
+
+def _section(name):
+    return lambda spark, d: ops.section(memories(spark, d), name, PROJECT).select("id", "category", "status", "unconfirmed")
+
+
+def briefing_recent(spark, d):
+    return ops.recent(episodes(spark, d), PROJECT)
+
+
+def briefing_all(spark, d):
+    return ops.briefing(memories(spark, d), episodes(spark, d), PROJECT).select("section", "id", "created_at", "unconfirmed")
+
+
+def transcript_render(spark, d):
+    return transcripts(spark, d).select("conv_id", F.md5("body").alias("body"))
+
+
+def transcript_tail(spark, d):
+    return transcripts(spark, d).select("conv_id", t.tail(F.col("body"), 500).alias("body"))
+
+
+def excerpt_head(spark, d):
+    return transcripts(spark, d).select("conv_id", F.md5(t.head(F.col("body"), 6000)).alias("excerpt"))
+
+
+def role_filter_markers(spark, d):
+    x = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant") & ~((F.col("role") == "user") & F.startswith("text", F.lit("<"))))
+    return x.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bookmark_slice(spark, d):
+    x = turns(spark, d).groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").alias("turn_idx"), "role", "text")).alias("turns"), F.count(F.lit(1)).alias("n"))
+    x = x.withColumn("mark", F.col("conv_id") % 5).withColumn("start", F.when(F.col("mark") > F.col("n"), 0).otherwise(F.col("mark")))
+    return x.select("conv_id", "start", F.md5(t.rendered(F.filter("turns", lambda y: y["turn_idx"] >= F.col("start")))).alias("body"))
+
+
+def unchanged_skip(spark, d):
+    x = transcripts(spark, d).select("conv_id", F.md5("body").alias("hash"))
+    known = x.where(F.col("conv_id") % 2 == 0)
+    return x.join(known, ["conv_id", "hash"], "left_anti")
+
+
+def redact_patterns(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(t.pattern_redacted(F.col("text"))).alias("clean"))
+
+
+def token_entropy(spark, d):
+    x = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"\S{28,}"), F.lit(0))).alias("token")).distinct()
+    return x.select("page_id", F.md5("token").alias("token"), F.round(t.entropy(F.col("token")), 6).alias("bits"))
+
+
+def redact_entropy(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(t.redacted(F.col("text"))).alias("clean"))
+
+
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(t.normalized(F.col("text"))).alias("norm"))
+
+
+def grounding_gate(spark, d):
+    x = table(spark, d, "documents").join(F.broadcast(table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("quote"))), F.contains(t.normalized(F.col("text")), t.normalized(F.col("quote"))))
+    return x.select("doc_id", "item_id")
+
+
+def gates_full(spark, d):
+    """Assistant turns as candidates of their conversation, quotes from every second one."""
+    x = turns(spark, d).where("role = 'assistant'")
+    found = x.select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.left("text", F.lit(200)).alias("content"), F.when(F.col("turn") % 7 == 0, "opinion").otherwise("fact").alias("category"), F.when(F.col("turn") % 3 == 0, "project").otherwise("user").alias("scope"), ((F.col("turn") * 13 % 50 + 50) / 100.0).alias("confidence"), F.when(F.col("turn") % 4 == 0, "not said here").otherwise(F.replace(F.left("text", F.lit(20)), F.lit(" "), F.lit(" \n "))).alias("evidence_quote"))
+    return gates.gated(found, transcripts(spark, d).select(F.col("conv_id").alias("session"), F.col("body").alias("text"))).select("session", "pos", "rank", F.round("confidence", 4).alias("confidence"))
+
+
+def _events(spark, d):
+    """The event stream as a change log: sign-ups add, views retrieve, clicks reinforce, purchases confirm, errors delete."""
+    a = F.col("event_type")
+    action = F.when(a == "signup", "add").when(a == "view", "retrieve").when(a == "click", "reinforce").when(a == "purchase", "status:confirmed").otherwise("forget")
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), action.alias("action"), F.col("user_id").alias("entity_id"), F.lit(None).cast("string").alias("detail"), F.struct(F.col("user_id").alias("id"), F.lit("proposed").alias("status"), F.lit(0.6).alias("confidence"), F.lit(0).cast("long").alias("times_retrieved"), F.lit(None).cast("string").alias("last_retrieved")).alias("memory"))
+
+
+def audit_fold(spark, d):
+    return store.fold_memories(_events(spark, d)).select("id", "status", F.round("confidence", 6).alias("confidence"), "times_retrieved", "last_retrieved")
+
+
+def retrieval_counts(spark, d):
+    return _events(spark, d).where("action = 'retrieve'").groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+
+
+def forget_antijoin(spark, d):
+    """Added entities that no later event deletes."""
+    e = _events(spark, d)
+    gone = e.where("action = 'forget'").groupBy(F.col("entity_id").alias("id")).agg(F.max("seq").alias("gone"))
+    added = e.where("action = 'add'").groupBy(F.col("entity_id").alias("id")).agg(F.max("seq").alias("added"))
+    return added.join(gone, (added["id"] == gone["id"]) & (F.col("gone") > F.col("added")), "left_anti").select("id")
+
+
+def inspect_proposed(spark, d):
+    return memories(spark, d).where("status = 'proposed'").select("id", "category", "confidence")
+
+
+def inspect_top_used(spark, d):
+    return memories(spark, d).orderBy(F.col("times_retrieved").desc(), "id").select("id", "times_retrieved").limit(25)
+
+
+def list_filtered(spark, d):
+    return store.listed(memories(spark, d), "project", PROJECT, "confirmed").select("id", "created_at")
+
+
+def list_episodes_limit(spark, d):
+    return store.listed_episodes(episodes(spark, d), "project", PROJECT, 10).select("id", "created_at")
+
+
+def axis_embed(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(v.axis_vector(F.col("text"), AXES), lambda x: F.round(x * 1000).cast("int").cast("string")), ",").alias("vec"))
+
+
+def first_sentence(spark, d):
+    return episodes(spark, d).select("id", t.first_sentence(F.col("summary")).alias("first"))
+
+
+def remote_normalize(spark, d):
+    return table(spark, d, "pages").select("page_id", t.remote(F.concat("url", F.when(F.col("page_id") % 2 == 0, ".git//").otherwise("/"))).alias("key"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = [knn_cosine, recall_hybrid, recall_user_scope, recall_episodes_recency, find_similar, dedup_decision, read_episode_facts, briefing_recent, briefing_all, transcript_render, transcript_tail, excerpt_head, role_filter_markers, bookmark_slice, unchanged_skip, redact_patterns, token_entropy, redact_entropy, normalize_text, grounding_gate, gates_full, audit_fold, retrieval_counts, forget_antijoin, inspect_proposed, inspect_top_used, list_filtered, list_episodes_limit, axis_embed, first_sentence, remote_normalize]
+    return {f.__name__: f for f in found} | {f"briefing_{n}": _section(n) for n in ("facts", "decisions", "gotchas", "conflicts")}
+
+
+# ---- SQL
+
+_MEM = """m AS (SELECT doc_id AS id, text AS content, ['preference','decision','fact','gotcha'][doc_id % 4 + 1] AS category,
+  CASE WHEN doc_id % 3 = 0 THEN 'user' ELSE 'project' END AS scope_type, CASE WHEN doc_id % 3 = 0 THEN '*' ELSE source END AS scope_key,
+  CASE WHEN doc_id % 10 = 0 THEN 'archived' WHEN doc_id % 10 <= 4 THEN 'proposed' ELSE 'confirmed' END AS status, (doc_id % 41 + 60) / 100.0 AS confidence,
+  strftime(make_timestamp((1735689600 + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS created_at, doc_id % 17 AS times_retrieved,
+  CASE WHEN doc_id % 23 = 0 THEN 'x' END AS superseded_by, CASE WHEN doc_id % 29 = 0 THEN 'y' END AS conflict_with, doc_id % 50 AS episode_id FROM documents)"""
+_LIVE = f"(status <> 'archived' AND coalesce(superseded_by, '') = '' AND (scope_type = 'user' OR (scope_type = 'project' AND scope_key = '{PROJECT}')))"
+_TURNS = "t AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant'))"
+_BODY = f"{_TURNS}, b AS (SELECT conv_id, string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) AS body FROM t GROUP BY conv_id)"
+_EP = f"""{_TURNS}, e AS (SELECT conv_id AS id, 's' || conv_id AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'user' ELSE 'project' END AS scope_type,
+  CASE WHEN conv_id % 3 = 0 THEN '*' ELSE '{PROJECT}' END AS scope_key, arg_min(text, turn) AS summary,
+  strftime(make_timestamp((1735689600 + conv_id * 86400 % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS created_at FROM t GROUP BY conv_id)"""
+_NEAR = """n AS (SELECT vec_id AS id, greatest(0, least(1, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])))) AS similarity FROM embeddings)"""
+_BONUS = "least(0.3, 0.1 * (" + " + ".join(f"CAST(contains(lower(content), '{w}') AS INT)" for w in QUERY.lower().split() if len(w) > 3) + "))"
+_AXES = "[" + ", ".join(f"CASE WHEN contains(lower({{0}}), '{a}') THEN 1.0::DOUBLE ELSE 0.01::DOUBLE END" for a in AXES) + "]"
+_NORM = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+_SIM = f"""{_MEM}, q AS (SELECT item_id AS query_id, {_AXES.format('text')} AS q FROM benchmark), a AS (SELECT m.*, {_AXES.format('content')} AS e FROM m),
+  h AS (SELECT query_id, a.*, greatest(0, least(1, list_cosine_similarity(e, q))) AS similarity FROM q, a),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS r FROM h),
+  f AS (SELECT query_id, arg_min(similarity, r) AS similarity FROM k WHERE r <= 20 AND status <> 'archived' AND coalesce(superseded_by, '') = '' AND scope_type = 'user' AND scope_key = '*' GROUP BY query_id)"""
+_KV = r"regexp_replace({0}, '(?i)\b([\w-]*(?:api[_-]?key|token|secret|password|passwd|authorization)[\w-]*)(\s*[:=]\s*)([^\s,;]+)', '\1\2[REDACTED]', 'g')"
+_PATTERNS = "text"
+for _p, _by in t.REDACTIONS[:-1]:
+    _PATTERNS = f"regexp_replace({_PATTERNS}, '{_p}', '{_by}', 'g')"
+_PATTERNS = _KV.format(_PATTERNS)
+_EV = "v AS (SELECT *, CASE event_type WHEN 'signup' THEN 'add' WHEN 'view' THEN 'retrieve' WHEN 'click' THEN 'reinforce' WHEN 'purchase' THEN 'status:confirmed' ELSE 'forget' END AS action FROM events)"
+
+
+def _sql_section(name: str, columns: str = "id, category, status, CASE WHEN status = 'proposed' THEN true END AS unconfirmed") -> str:
+    where, order, limit = {
+        "facts": ("status = 'confirmed' AND category IN ('preference', 'fact')", "times_retrieved DESC, created_at, id", 10),
+        "decisions": ("status = 'confirmed' AND category = 'decision'", "created_at DESC, id", 5),
+        "gotchas": ("category = 'gotcha'", "created_at DESC, id", 5),
+        "conflicts": ("conflict_with IS NOT NULL", "created_at, id", None),
+    }[name]
+    return f"SELECT {columns} FROM m WHERE {_LIVE} AND {where} ORDER BY {order}" + (f" LIMIT {limit}" if limit else "")
+
+
+def oracle_sql() -> dict[str, str]:
+    recall = lambda columns, scope, k: f"WITH {_MEM}, {_NEAR}, c AS (SELECT * FROM n ORDER BY similarity DESC, id LIMIT {4 * k}), s AS (SELECT m.*, similarity, similarity + {_BONUS} AS s FROM m JOIN c USING (id) WHERE status <> 'archived' AND coalesce(superseded_by, '') = '' AND ({scope})) SELECT {columns}, round(s, 4) AS score FROM s ORDER BY s DESC, similarity DESC, id LIMIT {k}"
+    every = " UNION ALL ".join(f"SELECT * FROM ({_sql_section(n, chr(39) + n + chr(39) + ' AS section, id, created_at, CASE WHEN status = ' + chr(39) + 'proposed' + chr(39) + ' THEN true END AS unconfirmed')})" for n in ("facts", "decisions", "gotchas", "conflicts"))
+    visible = f"(scope_type = 'user' OR (scope_type = 'project' AND scope_key = '{PROJECT}'))"
+    return {
+        "knn_cosine": f"WITH {_NEAR} SELECT id, round(similarity, 4) AS similarity FROM n ORDER BY n.similarity DESC, id LIMIT 20",
+        "recall_hybrid": recall("id, category, status", f"scope_type = 'user' OR (scope_type = 'project' AND scope_key = '{PROJECT}')", 5),
+        "recall_user_scope": recall("id, scope_type, scope_key", "scope_type = 'user'", 8),
+        "recall_episodes_recency": f"WITH {_EP}, {_NEAR}, c AS (SELECT * FROM n ORDER BY similarity DESC, id LIMIT 20), s AS (SELECT e.*, similarity, similarity + 0.15 * pow(0.5, greatest(0, epoch(TIMESTAMP '2026-01-01') - epoch(strptime(created_at, '%Y-%m-%dT%H:%M:%S+00:00'))) / 86400.0 / 7) AS s FROM e JOIN c USING (id) WHERE {visible}) SELECT id, summary, created_at, session_id, scope_type, scope_key, round(s, 4) AS score FROM s ORDER BY s DESC, similarity DESC, id LIMIT 5",
+        "find_similar": f"WITH {_SIM} SELECT query_id, round(similarity, 4) AS similarity FROM f",
+        "dedup_decision": f"WITH {_SIM} SELECT q.query_id, CASE WHEN similarity >= 0.85 THEN 'reinforce' ELSE 'propose' END AS action FROM q LEFT JOIN f USING (query_id)",
+        "read_episode_facts": f"WITH {_MEM}, {_EP} SELECT e.id, coalesce(string_agg(CAST(m.id AS VARCHAR), ',' ORDER BY m.created_at, m.id), '') AS fact_ids FROM e LEFT JOIN m ON m.episode_id = e.id GROUP BY e.id",
+        "briefing_recent": f"WITH {_EP} SELECT id, rtrim(split_part(summary, '. ', 1), '.') AS summary, created_at FROM e WHERE {visible} ORDER BY created_at DESC, id LIMIT 3",
+        "briefing_all": f"WITH {_MEM}, {_EP} {every} UNION ALL SELECT * FROM (SELECT 'conversations' AS section, id, created_at, CAST(NULL AS BOOLEAN) AS unconfirmed FROM e WHERE {visible} ORDER BY created_at DESC, id LIMIT 3)",
+        "transcript_render": f"WITH {_BODY} SELECT conv_id, md5(body) AS body FROM b",
+        "transcript_tail": f"WITH {_BODY}, r AS (SELECT conv_id, body, right(body, 500) AS x FROM b) SELECT conv_id, CASE WHEN length(body) <= 500 THEN body WHEN instr(x, chr(10)) > 0 THEN substr(x, instr(x, chr(10)) + 1) ELSE x END AS body FROM r",
+        "excerpt_head": f"WITH {_BODY} SELECT conv_id, md5(left(body, 6000)) AS excerpt FROM b",
+        "role_filter_markers": "SELECT conv_id, role, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') AND NOT (role = 'user' AND starts_with(text, '<')) GROUP BY conv_id, role",
+        "bookmark_slice": f"WITH {_TURNS}, c AS (SELECT conv_id, count(*) AS n, conv_id % 5 AS mark FROM t GROUP BY conv_id), s AS (SELECT conv_id, CASE WHEN mark > n THEN 0 ELSE mark END AS start FROM c) SELECT s.conv_id, start, md5(coalesce(string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) FILTER (WHERE turn >= start), '')) AS body FROM s JOIN t USING (conv_id) GROUP BY s.conv_id, start",
+        "unchanged_skip": f"WITH {_BODY} SELECT conv_id, md5(body) AS hash FROM b WHERE conv_id % 2 <> 0",
+        "redact_patterns": f"SELECT doc_id, md5({_PATTERNS}) AS clean FROM documents",
+        "token_entropy": "WITH k AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '\\S{28,}')) AS token FROM pages) SELECT page_id, md5(token) AS token, round(list_entropy(string_split(token, '')), 6) AS bits FROM k",
+        "redact_entropy": rf"""WITH p AS (SELECT doc_id, {_PATTERNS} AS x FROM documents) SELECT doc_id, md5(array_to_string([CASE WHEN length(w) >= 28 AND NOT regexp_matches(w, '[/\\]') AND regexp_matches(w, '\p{{Nd}}') AND regexp_matches(w, '\p{{L}}') AND list_entropy(string_split(w, '')) > 4.0 THEN '[REDACTED_HIGH_ENTROPY]' ELSE w END FOR w IN regexp_extract_all(x, '\S+|\s+')], '')) AS clean FROM p""",
+        "normalize_text": f"SELECT doc_id, md5({_NORM.format('text')}) AS norm FROM documents",
+        "grounding_gate": f"SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains({_NORM.format('d.text')}, {_NORM.format('left(b.text, 60)')})",
+        "gates_full": f"""WITH {_BODY}, c AS (SELECT conv_id AS session, turn AS pos, left(text, 200) AS content, CASE WHEN turn % 7 = 0 THEN 'opinion' ELSE 'fact' END AS category, (turn * 13 % 50 + 50) / 100.0 AS confidence,
+          CASE WHEN turn % 4 = 0 THEN 'not said here' ELSE replace(left(text, 20), ' ', ' ' || chr(10) || ' ') END AS quote FROM t WHERE role = 'assistant'),
+          p AS (SELECT c.* FROM c JOIN b ON session = conv_id WHERE category = 'fact' AND confidence >= 0.6 AND length(content) BETWEEN 10 AND 300 AND contains({_NORM.format('body')}, {_NORM.format('quote')})),
+          u AS (SELECT *, row_number() OVER (PARTITION BY session, {_NORM.format('content')} ORDER BY pos) AS n FROM p),
+          r AS (SELECT *, CAST(row_number() OVER (PARTITION BY session ORDER BY confidence DESC, pos) AS INT) AS rank FROM u WHERE n = 1)
+          SELECT session, pos, rank, CAST(round(confidence, 4) AS DOUBLE) AS confidence FROM r WHERE rank <= 5""",
+        "audit_fold": f"""WITH {_EV}, g AS (SELECT user_id AS id, max(event_id) FILTER (WHERE action = 'add') AS added, max(event_id) FILTER (WHERE action = 'forget') AS gone, count(*) FILTER (WHERE action = 'status:confirmed') AS c,
+          count(*) FILTER (WHERE action = 'reinforce') AS n, count(*) FILTER (WHERE action = 'retrieve') AS r, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) FILTER (WHERE action = 'retrieve') AS last FROM v GROUP BY user_id)
+          SELECT id, CASE WHEN c > 0 THEN 'confirmed' ELSE 'proposed' END AS status, CAST(round(least(1.0, 0.6 + 0.1 * n), 6) AS DOUBLE) AS confidence, r AS times_retrieved, last AS last_retrieved FROM g WHERE added IS NOT NULL AND coalesce(gone, -1) < added""",
+        "retrieval_counts": f"WITH {_EV} SELECT user_id AS id, count(*) AS n, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS last FROM v WHERE action = 'retrieve' GROUP BY user_id",
+        "forget_antijoin": f"WITH {_EV}, a AS (SELECT user_id AS id, max(event_id) AS added FROM v WHERE action = 'add' GROUP BY user_id) SELECT id FROM a WHERE NOT EXISTS (SELECT 1 FROM v WHERE action = 'forget' AND user_id = a.id AND event_id > added)",
+        "inspect_proposed": f"WITH {_MEM} SELECT id, category, CAST(confidence AS DOUBLE) AS confidence FROM m WHERE status = 'proposed'",
+        "inspect_top_used": f"WITH {_MEM} SELECT id, times_retrieved FROM m ORDER BY times_retrieved DESC, id LIMIT 25",
+        "list_filtered": f"WITH {_MEM} SELECT id, created_at FROM m WHERE scope_type = 'project' AND scope_key = '{PROJECT}' AND status = 'confirmed'",
+        "list_episodes_limit": f"WITH {_EP} SELECT id, created_at FROM e WHERE scope_type = 'project' AND scope_key = '{PROJECT}' ORDER BY created_at DESC, id LIMIT 10",
+        "axis_embed": f"WITH a AS (SELECT doc_id, {_AXES.format('text')} AS e FROM documents) SELECT doc_id, array_to_string([CAST(CAST(round(x / sqrt(list_inner_product(e, e)) * 1000) AS INT) AS VARCHAR) FOR x IN e], ',') AS vec FROM a",
+        "first_sentence": f"WITH {_EP} SELECT id, rtrim(split_part(summary, '. ', 1), '.') AS first FROM e",
+        "remote_normalize": r"SELECT page_id, regexp_replace(rtrim(url || CASE WHEN page_id % 2 = 0 THEN '.git//' ELSE '/' END, '/'), '\.git$', '') AS key FROM pages",
+    } | {f"briefing_{n}": f"WITH {_MEM} {_sql_section(n)}" for n in ("facts", "decisions", "gotchas", "conflicts")}
