@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import cut, small, text_of
 from .linking import FAR, LINKED, NEAR, candidates_and_links, components
 
-SHINGLE, CHUNK, MINS, ROWS, SIMILARITY = 8, 16, 12, 2, 0.8
+SHINGLE, CHUNK, MINS, ROWS, SIMILARITY, AGREE = 8, 16, 12, 2, 0.8, 5
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -58,17 +58,22 @@ def shingle_set(line: Column) -> Column:
     return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), of), 1)
 
 
-def verifier(lines: DataFrame):
-    """pairs (a, b) of line hashes -> (a, b, grade) by exact Jaccard similarity."""
+def verifier(lines: DataFrame, signed: DataFrame):
+    """pairs (a, b) of line hashes -> (a, b, grade) by exact Jaccard similarity. Pairs of which fewer than AGREE minima are equal are far without looking at their lines: at the
+    similarity sought that happens to one pair in 1,700."""
+    minima = signed.select("h1", F.array(*[f"m{j}" for j in range(MINS)]).alias("m"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-        sets = cut(lines.select("h1", "line").join(small(wanted, 200_000), "h1", "left_semi").dropDuplicates(["h1"]).select("h1", shingle_set(F.col("line")).alias("s")))
-        one, two = (sets.select(F.col("h1").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-        x = pairs.join(one, "a").join(two, "b")
-        both = F.size(F.array_intersect("sa", "sb"))
-        x = x.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("j"))
-        return x.select("a", "b", F.when(F.col("j") >= SIMILARITY, LINKED).when(F.col("j") >= 1 - 2 * (1 - SIMILARITY), NEAR).otherwise(FAR).alias("grade"))
+        one, two = (minima.select(F.col("h1").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
+        agree = F.size(F.filter(F.zip_with("ma", "mb", lambda p, q: p == q), lambda e: e))
+        close = cut(pairs.join(one, "a").join(two, "b").where(agree >= AGREE).select("a", "b"))
+        wanted = close.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+        texts = lines.select("h1", "line").join(small(wanted, 200_000), "h1", "left_semi").dropDuplicates(["h1"])
+        one, two = (texts.select(F.col("h1").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+        x = close.join(one, "a").join(two, "b").select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
+        # through an array of one, so that the sets are made once
+        jaccard = F.element_at(F.transform(F.array(F.struct("sa", "sb", F.size(F.array_intersect("sa", "sb")).alias("both"))), lambda t: t["both"] / (F.size(t["sa"]) + F.size(t["sb"]) - t["both"])), 1)
+        return x.select("a", "b", jaccard.alias("j")).select("a", "b", F.when(F.col("j") >= SIMILARITY, LINKED).when(F.col("j") >= 1 - 2 * (1 - SIMILARITY), NEAR).otherwise(FAR).alias("grade"))
 
     return verify
 
@@ -78,7 +83,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs)
     signed = signed_lines(lines).where("_lo = _hi").persist()
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(MINS // ROWS)])
-    links = cut(candidates_and_links(signed.select(F.col("h1").alias("id"), bands.alias("keys")), verifier(lines)))
+    links = cut(candidates_and_links(signed.select(F.col("h1").alias("id"), bands.alias("keys")), verifier(lines, signed)))
     roots = components(links)
     firsts = signed.select("h1", "times", "first_doc").join(roots.withColumnRenamed("id", "h1"), "h1", "left").where("times > 1 or root is not null").select("h1", "first_doc", F.coalesce("root", "h1").alias("root"))
     firsts = cut(firsts)
