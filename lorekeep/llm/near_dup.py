@@ -110,6 +110,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     ca, cb = np.bincount(place[:n], minlength=len(both)), np.bincount(place[n:], minlength=len(both))
     if max(n, m) - int(np.minimum(ca, cb).sum()) > most:
         return None
+    wa, wb = place[:n], place[n:]
     power = np.cumprod(np.full(max(n, m) + 1, _ODD[0], np.uint64))
     key = mixed(np.arange(len(both), dtype=np.uint64) + np.uint64(1))
     sa = np.concatenate([[np.uint64(0)], np.cumsum(key[place[:n]] * power[:n])])
@@ -117,7 +118,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     steps = [1 << i for i in range(min(n, m).bit_length() - 1, -1, -1)]
     most = min(most, max(n, m))
     wide = most + 1
-    reach = np.full(2 * wide + 1, -(1 << 40), np.int64)  # furthest place in a, by diagonal (place in a - place in b)
+    reach = np.full(2 * wide + 3, -(1 << 40), np.int64)  # furthest place in a, by diagonal (place in a - place in b)
+    spare = reach.copy()
     for e in range(most + 1):
         lo, hi = wide - e, wide + e + 1
         if e == 0:
@@ -129,16 +131,19 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         x = np.minimum(x, np.minimum(n, m + d))
         ok = (x >= 0) & (x - d >= 0)
         x = np.where(ok, x, -(1 << 40))
-        live = np.flatnonzero(ok)
-        p, q = x[live], x[live] - d[live]
-        for step in steps:
-            fits = (p + step <= n) & (q + step <= m)
-            i, j = p[fits], q[fits]
-            eq = (sa[i + step] - sa[i]) * power[j] == (sb[j + step] - sb[j]) * power[i]
-            fits[fits] = eq
-            p, q = p + step * fits, q + step * fits
-        x[live] = p
-        reach = np.full(2 * wide + 1, -(1 << 40), np.int64)
+        # places where the next words are equal are extended, by halving steps
+        more = np.flatnonzero(ok & (x < n) & (x - d < m))
+        more = more[wa[x[more]] == wb[x[more] - d[more]]]
+        if len(more):
+            p, q = x[more], x[more] - d[more]
+            for step in steps:
+                fits = (p + step <= n) & (q + step <= m)
+                i, j = p[fits], q[fits]
+                fits[fits] = (sa[i + step] - sa[i]) * power[j] == (sb[j + step] - sb[j]) * power[i]
+                p, q = p + step * fits, q + step * fits
+            x[more] = p
+        reach, spare = spare, reach
+        reach[lo - 1 : hi + 1] = -(1 << 40)
         reach[lo:hi] = x
         if abs(n - m) <= e and reach[wide + n - m] >= n:
             return e
@@ -146,14 +151,17 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 
 def grade(a: str, b: str, similarity: float = SIMILARITY) -> int:
-    """LINKED at this similarity; NEAR if twice as many edits would do; else FAR."""
+    """LINKED at this similarity; NEAR if a third of the runs of five words agree; else FAR."""
     a, b = a.split(), b.split()
     longest = max(len(a), len(b))
     allowed = int((1 - similarity) * longest + 1e-9)
     number: dict[str, int] = {}
     a, b = (np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (a, b))
-    d = edit_distance(a, b, min(longest, 2 * allowed))
-    return FAR if d is None else LINKED if d <= allowed else NEAR
+    if edit_distance(a, b, allowed) is not None:
+        return LINKED
+    ga, gb = (np.unique(runs(mixed(x.astype(np.uint64)))) for x in (a, b))
+    both = len(np.intersect1d(ga, gb, assume_unique=True))
+    return NEAR if 3 * both >= len(ga) + len(gb) - both else FAR
 
 
 def signatures(docs: DataFrame) -> DataFrame:
