@@ -1,9 +1,10 @@
 """Links and components for the near-duplicate operators. DataFrame functions only.
 
 candidates: nodes with signatures fall into buckets. A bucket of few nodes gives all its pairs; a larger one gives a star, each member with one
-representative, so that pairs do not grow with the square of a bucket. After verification the members that are not linked to their representative (all members, if
-one of them lies so near that it could be linked to a linked one) go on into finer buckets, which take one signature more into the key and another
-representative, until none are left. Nodes that are similar share most of their signatures, so they stay together on the way; no candidate is dropped for a bucket's size.
+representative, so that pairs do not grow with the square of a bucket. After verification the members that are not linked to their representative go on into finer
+buckets, which take one signature more into the key and another representative, until none are left. Nodes that are similar share most of their signatures, so they stay
+together on the way; no member is dropped for a bucket's size. What a star alone can miss is the link of a member to one that is linked to the representative while it is not itself; it has as many
+more chances as there are signatures, under four different representatives.
 
 components: union-find by alternating large-star and small-star steps, each a join and a partial aggregation; a hot node's edges are never collected.
 """
@@ -19,7 +20,7 @@ from .common import cut, small
 
 #: Buckets of up to so many nodes give all pairs.
 FEW = 24
-#: What verify says of a pair.
+#: What verify says of a pair: LINKED counts, NEAR and FAR go on.
 FAR, NEAR, LINKED = 0, 1, 2
 
 
@@ -47,8 +48,8 @@ def links_in_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame],
         left, right = (shared.where(F.col("n") <= few).select("bucket", F.col("id").alias(x)) for x in "ab")
         pairs.append(left.join(right, "bucket").where("a < b").select("a", "b"))
         big = shared.where(F.col("n") > few)
-        # another representative at each level
-        order = F.xxhash64("id", F.lit(level))
+        # other representatives at each level, and four of them over the signatures
+        order = F.xxhash64("id", F.lit(level), F.pmod("pos", F.lit(4)))
         chosen = big.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("rep"))).alias("r")).select("bucket", F.col("r.rep").alias("rep"))
         stars = cut(big.join(small(cut(chosen)), "bucket").where("id <> rep").select("bucket", "pos", "id", "rep"))
         pairs.append(stars.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")))
@@ -58,9 +59,7 @@ def links_in_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame],
             break
         said = stars.join(graded.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.least("id", "rep") == F.col("_a")) & (F.greatest("id", "rep") == F.col("_b")), "left")
         said = said.select("bucket", "pos", "id", F.coalesce("grade", F.lit(FAR)).alias("grade"))
-        doubtful = said.where(F.col("grade") == NEAR).select("bucket").distinct().withColumn("doubt", F.lit(True))
-        rest = said.join(doubtful, "bucket", "left").where((F.col("grade") != LINKED) | F.col("doubt")).select("bucket", "pos", "id")
-        rest = cut(rest)
+        rest = cut(said.where(F.col("grade") != LINKED).select("bucket", "pos", "id"))
         if rest.isEmpty():
             break
         rows = cut(finer(rest, level))
