@@ -139,8 +139,8 @@ def redact_patterns(spark, d):
 
 
 def token_entropy(spark, d):
-    x = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"\S{28,}"), F.lit(0))).alias("token")).distinct()
-    return x.select("page_id", F.md5("token").alias("token"), F.round(t.entropy(F.col("token")), 6).alias("bits"))
+    x = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"\S{28,}"), F.lit(0))).alias("word")).distinct()
+    return x.select("page_id", F.md5("word").alias("token"), F.round(t.entropy(F.col("word")), 6).alias("bits"))
 
 
 def redact_entropy(spark, d):
