@@ -104,7 +104,10 @@ class Store:
         return fold_memories(self.events())
 
     def vectors(self) -> DataFrame:
-        return fold_vectors(self.events())
+        return fold_vectors(self.events().where(F.col("action").isin("add", "forget")))
+
+    def episode_vectors(self) -> DataFrame:
+        return fold_vectors(self.events().where(F.col("action").isin("add_episode", "rollback_episode")))
 
     def get(self, memory_id: str) -> dict | None:
         row = fold_memories(self.events().where(F.col("entity_id") == memory_id)).first()
