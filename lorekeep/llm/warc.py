@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import cut, small
 
 FILE_BYTES = 16 << 20
+#: So many bytes are given to the decompressor at once.
+STEP = 8 << 10
 #: Fields of the header line by version.
 FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -47,15 +49,16 @@ def member(data: bytes) -> bytes:
 
 
 def inflated(data: bytes) -> bytes:
-    """All members of a gzip file; plain data as it is."""
+    """All members of a gzip file; plain data as it is. Members are fed in small steps, as what is fed beyond a member's end is copied."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out, rest = [], data
-    while rest[:2] == b"\x1f\x8b":
+    out, at, view = [], 0, memoryview(data)
+    while data[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(rest))
+        while not z.eof and at < len(data):
+            out.append(z.decompress(view[at : at + STEP]))
+            at += min(STEP, len(data) - at) - len(z.unused_data)
         out.append(z.flush())
-        rest = z.unused_data
     return b"".join(out)
 
 
