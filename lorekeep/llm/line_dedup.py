@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, small, text_of
-from .linking import FAR, LINKED, NEAR, candidates_and_links, components
+from .linking import FAR, LINKED, candidates_and_links, components
 
 SHINGLE, CHUNK, MINS, ROWS, SIMILARITY, AGREE = 8, 16, 12, 2, 0.8, 5
 
@@ -73,7 +73,7 @@ def verifier(lines: DataFrame, signed: DataFrame):
         x = close.join(one, "a").join(two, "b").select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
         # through an array of one, so that the sets are made once
         jaccard = F.element_at(F.transform(F.array(F.struct("sa", "sb", F.size(F.array_intersect("sa", "sb")).alias("both"))), lambda t: t["both"] / (F.size(t["sa"]) + F.size(t["sb"]) - t["both"])), 1)
-        return x.select("a", "b", jaccard.alias("j")).select("a", "b", F.when(F.col("j") >= SIMILARITY, LINKED).when(F.col("j") >= 1 - 2 * (1 - SIMILARITY), NEAR).otherwise(FAR).alias("grade"))
+        return x.select("a", "b", jaccard.alias("j")).select("a", "b", F.when(F.col("j") >= SIMILARITY, LINKED).otherwise(FAR).alias("grade"))
 
     return verify
 

@@ -20,8 +20,8 @@ from .common import cut, small
 
 #: Buckets of up to so many nodes give all pairs.
 FEW = 24
-#: What verify says of a pair: LINKED counts, NEAR and FAR go on.
-FAR, NEAR, LINKED = 0, 1, 2
+#: What verify says of a pair.
+FAR, LINKED = 0, 1
 
 
 def candidates_and_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = FEW) -> DataFrame:

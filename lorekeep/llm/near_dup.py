@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, small, text_of
-from .linking import FAR, LINKED, NEAR, candidates_and_links, components
+from .linking import FAR, LINKED, candidates_and_links, components
 
 K, ELL, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -151,17 +151,13 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 
 def grade(a: str, b: str, similarity: float = SIMILARITY) -> int:
-    """LINKED at this similarity; NEAR if a third of the runs of five words agree; else FAR."""
+    """LINKED at this similarity, else FAR."""
     a, b = a.split(), b.split()
     longest = max(len(a), len(b))
     allowed = int((1 - similarity) * longest + 1e-9)
     number: dict[str, int] = {}
     a, b = (np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (a, b))
-    if edit_distance(a, b, allowed) is not None:
-        return LINKED
-    ga, gb = (np.unique(runs(mixed(x.astype(np.uint64)))) for x in (a, b))
-    both = len(np.intersect1d(ga, gb, assume_unique=True))
-    return NEAR if 3 * both >= len(ga) + len(gb) - both else FAR
+    return FAR if edit_distance(a, b, allowed) is None else LINKED
 
 
 def signatures(docs: DataFrame) -> DataFrame:
