@@ -58,6 +58,11 @@ def shingle_set(line: Column) -> Column:
     return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), of), 1)
 
 
+def agreeing(a: Column, b: Column) -> Column:
+    """Whether at least AGREE of the minima are equal."""
+    return sum((F.get(a, F.lit(j)) == F.get(b, F.lit(j))).cast("int") for j in range(MINS)) >= AGREE
+
+
 def verifier(lines: DataFrame, signed: DataFrame):
     """pairs (a, b) of line hashes -> (a, b, grade) by exact Jaccard similarity. Pairs of which fewer than AGREE minima are equal are far without looking at their lines: at the
     similarity sought that happens to one pair in 1,700."""
@@ -65,8 +70,7 @@ def verifier(lines: DataFrame, signed: DataFrame):
 
     def verify(pairs: DataFrame) -> DataFrame:
         one, two = (minima.select(F.col("h1").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
-        agree = F.size(F.filter(F.zip_with("ma", "mb", lambda p, q: p == q), lambda e: e))
-        close = cut(pairs.join(one, "a").join(two, "b").where(agree >= AGREE).select("a", "b"))
+        close = cut(pairs.join(one, "a").join(two, "b").where(agreeing(F.col("ma"), F.col("mb"))).select("a", "b"))
         wanted = close.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
         texts = lines.select("h1", "line").join(small(wanted, 200_000), "h1", "left_semi").dropDuplicates(["h1"])
         one, two = (texts.select(F.col("h1").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
@@ -83,7 +87,8 @@ def decisions(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs)
     signed = signed_lines(lines).where("_lo = _hi").persist()
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(MINS // ROWS)])
-    links = cut(candidates_and_links(signed.select(F.col("h1").alias("id"), bands.alias("keys")), verifier(lines, signed)))
+    minima = F.array(*[f"m{j}" for j in range(MINS)])
+    links = cut(candidates_and_links(signed.select(F.col("h1").alias("id"), bands.alias("keys"), minima.alias("hint")), verifier(lines, signed), close=agreeing))
     roots = components(links)
     firsts = signed.select("h1", "times", "first_doc").join(roots.withColumnRenamed("id", "h1"), "h1", "left").where("times > 1 or root is not null").select("h1", "first_doc", F.coalesce("root", "h1").alias("root"))
     firsts = cut(firsts)

@@ -1,10 +1,9 @@
 """Links and components for the near-duplicate operators. DataFrame functions only.
 
-candidates: nodes with signatures fall into buckets. A bucket of few nodes gives all its pairs; a larger one gives a star, each member with one
-representative, so that pairs do not grow with the square of a bucket. After verification the members that are not linked to their representative go on into finer
-buckets, which take one signature more into the key and another representative, until none are left. Nodes that are similar share most of their signatures, so they stay
-together on the way; no member is dropped for a bucket's size. What a star alone can miss is the link of a member to one that is linked to the representative while it is not itself; it has as many
-more chances as there are signatures, under four different representatives.
+candidates: nodes with signatures fall into buckets. A bucket of few nodes gives all its pairs. In a larger one representatives are tested against all members that are not yet known to be in their
+component, and leave the bucket; the linked members stay in it for the others. The next round takes four times as many representatives, those with most links first, until the members
+left are of one component, so that every pair of a bucket is tested unless other links connect it. A bucket of nodes that resemble one of them costs a few tests for each node; only one whose members are all unlike costs all its pairs,
+less those that the operator's bound (close) tells apart without a look at their texts.
 
 components: union-find by alternating large-star and small-star steps, each a join and a partial aggregation; a hot node's edges are never collected.
 """
@@ -14,56 +13,60 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, small
 
-#: Buckets of up to so many nodes give all pairs.
-FEW = 24
+#: Buckets of up to so many nodes give all pairs; larger ones at most so many representatives a round.
+FEW, MOST = 24, 1024
 #: What verify says of a pair.
 FAR, LINKED = 0, 1
 
 
-def candidates_and_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = FEW) -> DataFrame:
-    """nodes: id long (unique, not null), keys array<long> (the signatures, by position). verify: pairs (a, b), a < b -> (a, b, grade).
-    Returns the links (a, b)."""
-    rows = nodes.select("id", F.posexplode("keys").alias("pos", "key")).select("id", "pos", F.xxhash64("pos", "key").alias("bucket"))
+def candidates_and_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = FEW, close: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """nodes: id long (unique, not null), keys array<long> (the signatures, by position), and hint if close is given. verify: pairs (a, b), a < b -> (a, b, grade).
+    close: two hints -> false only if verify would not link the pair. Returns links (a, b) that connect all nodes which the links of pairs with a common signature connect."""
+    hint = ["hint"] if close else []
+    rows = nodes.select("id", *hint, F.posexplode("keys").alias("pos", "key")).select("id", *hint, F.xxhash64("pos", "key").alias("bucket"))
+    return links_in_buckets(rows, verify, few, close)
 
-    def finer(rest: DataFrame, level: int) -> DataFrame:
-        again = rest.join(nodes, "id").select("id", "bucket", F.col("pos").alias("was"), F.posexplode("keys").alias("pos", "key")).where("pos > was")
-        return again.select("id", "pos", F.xxhash64("bucket", "pos", "key").alias("bucket"))
 
-    return links_in_buckets(rows, verify, finer, few)
+def links_in_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = FEW, close: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """rows: id, bucket (distinct), and hint if close is given. verify and close as above."""
+    hint = F.col("hint") if close else F.lit(None).cast("int")
+    rows = rows.select("bucket", "id", hint.alias("hint"), F.col("id").alias("root"), F.lit(0).cast("long").alias("degree"))
+    known = None  # id and root of the nodes linked so far
+    found, level, wide = [], 0, 1
 
+    def open_pairs(x: DataFrame, y: DataFrame, only: Column) -> DataFrame:
+        """Pairs of members of x and y in one bucket that are not known to be in one component."""
+        one, two = (t.select("bucket", F.struct("id", "root", "hint").alias(n)) for t, n in ((x, "x"), (y, "y")))
+        both = one.join(two, "bucket").where(only & (F.col("x.root") != F.col("y.root")))
+        both = both.where(close(F.col("x.hint"), F.col("y.hint"))) if close else both
+        return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
-def links_in_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame, int], DataFrame], few: int = FEW) -> DataFrame:
-    """rows: id, pos, bucket (distinct). verify as above. finer: rows that go on, and the level they come from -> rows with their next buckets."""
-    found, level = [], 0
     while True:
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         sizes = cut(sizes)
-        pairs = [sizes.where("n = 2").select("a", "b")]
-        shared = rows.join(small(sizes.where("n > 2").select("bucket", "n"), 100_000), "bucket")
-        shared = cut(shared)
-        left, right = (shared.where(F.col("n") <= few).select("bucket", F.col("id").alias(x)) for x in "ab")
-        pairs.append(left.join(right, "bucket").where("a < b").select("a", "b"))
-        big = shared.where(F.col("n") > few)
-        # other representatives at each level, and four of them over the signatures
-        order = F.xxhash64("id", F.lit(level), F.pmod("pos", F.lit(4)))
-        chosen = big.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("rep"))).alias("r")).select("bucket", F.col("r.rep").alias("rep"))
-        stars = cut(big.join(small(cut(chosen)), "bucket").where("id <> rep").select("bucket", "pos", "id", "rep"))
-        pairs.append(stars.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")))
+        shared = cut(rows.join(small(sizes.where("n > 2").select("bucket", "n"), 100_000), "bucket"))
+        some, big = shared.where(F.col("n") <= few), shared.where(F.col("n") > few)
+        # the same order in all buckets, so that those of the same members have the same representatives
+        order, part = F.xxhash64("id", F.lit(level)), F.pmod(F.xxhash64("id", F.lit(level), F.lit("part")), F.lit(wide))
+        chosen = big.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("degree")).alias("d"), order.alias("o"), "id", "root", "hint")).alias("r")).select("bucket", "r.id", "r.root", "r.hint")
+        chosen = small(cut(chosen), 100_000)
+        pairs = [sizes.where("n = 2").select("a", "b"), open_pairs(some, some, F.col("x.id") < F.col("y.id")), open_pairs(big, chosen, F.col("x.id") != F.col("y.id"))]
         graded = cut(verify(cut(reduce(DataFrame.unionByName, pairs).distinct())))
-        found.append(graded.where(F.col("grade") == LINKED).select("a", "b"))
-        if stars.isEmpty():
+        new = graded.where(F.col("grade") == LINKED).select("a", "b")
+        found.append(new)
+        if big.isEmpty():
             break
-        said = stars.join(graded.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.least("id", "rep") == F.col("_a")) & (F.greatest("id", "rep") == F.col("_b")), "left")
-        said = said.select("bucket", "pos", "id", F.coalesce("grade", F.lit(FAR)).alias("grade"))
-        rest = cut(said.where(F.col("grade") != LINKED).select("bucket", "pos", "id"))
-        if rest.isEmpty():
-            break
-        rows = cut(finer(rest, level))
-        level += 1
+        # a representative has met all others of its bucket
+        rest = big.select("bucket", "id", "hint").join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        edges = new if known is None else new.unionByName(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        known = cut(components(edges))
+        degree = reduce(DataFrame.unionByName, found).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+        rows = cut(rest.join(known, "id", "left").join(degree, "id", "left").select("bucket", "id", "hint", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        level, wide = level + 1, min(4 * wide, MOST)
     return reduce(DataFrame.unionByName, found).distinct()
 
 

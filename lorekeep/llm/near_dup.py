@@ -16,12 +16,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, small, text_of
 from .linking import FAR, LINKED, candidates_and_links, components
 
-K, ELL, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
+K, ELL, SKETCHES, SIMILARITY, BINS = 5, 3, 16, 0.8, 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch", i) for i in range(64)], np.uint64)[:, None]
 _words: dict[str, int] = {}
@@ -89,6 +89,19 @@ def sketches(text: str, sketches: int = SKETCHES, ell: int = ELL) -> tuple[int,
     return len(h), signature.view(np.int64).tolist()
 
 
+def bag(text: str) -> list[int]:
+    """The number of words, and of those with each of BINS hashes."""
+    h = word_hashes(text.split())
+    return [len(h), *np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS).tolist()]
+
+
+def close(a: Column, b: Column) -> Column:
+    """False for two bags whose texts have more words without a partner than edits are allowed."""
+    longest = F.greatest(F.get(a, F.lit(0)), F.get(b, F.lit(0)))
+    paired = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) - F.least(F.get(a, F.lit(0)), F.get(b, F.lit(0)))
+    return longest - paired <= F.floor((1 - SIMILARITY) * longest + 1e-9)
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Word edit distance of two integer arrays if it is at most `most`, else None."""
     n = min(len(a), len(b))
@@ -161,15 +174,16 @@ def grade(a: str, b: str, similarity: float = SIMILARITY) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, copy_of (a pair of text hashes), keys for each row of docs with an id."""
+    """doc_id, h1, h2 (hashes of the text), keys, hint (its bag) for each row of docs with an id."""
 
     def run(batches):
         for batch in batches:
             got = [sketches(t.as_py())[1] for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "keys"])
+            bags = [bag(t.as_py()) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(got, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32()))], names=["doc_id", "h1", "h2", "keys", "hint"])
 
     t = text_of()
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(7), t).alias("h2"), t.alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(7), t).alias("h2"), t.alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>, hint array<int>")
 
 
 def verifier(docs: DataFrame):
@@ -192,9 +206,9 @@ def verifier(docs: DataFrame):
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), n_links (links of its text that were verified) for each row of docs with an id."""
     rows = cut(signatures(docs))
-    texts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    nodes = texts.select("id", "keys").groupBy("id").agg(F.first("keys").alias("keys"))
-    links = cut(candidates_and_links(nodes, verifier(docs)))
+    texts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("hint").alias("hint"))
+    nodes = texts.select("id", "keys", "hint").groupBy("id").agg(F.first("keys").alias("keys"), F.first("hint").alias("hint"))
+    links = cut(candidates_and_links(nodes, verifier(docs), close=close))
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     known = texts.select("h1", "h2", "id").join(roots, "id", "left").join(degree, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from lorekeep.llm import linking, near_dup
 
@@ -47,6 +48,15 @@ def test_components(spark):
     assert linking.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hub_of_unlike_copies(spark):
+    """A bucket of thousands, each linked to one node only, and a second one of groups that are linked to nothing else."""
+    hub, n = 1717, 4000
+    nodes = spark.range(n).select("id", F.array(F.when(F.col("id") < 3000, 0).otherwise(1).cast("long")).alias("keys"))
+    grade = F.when((F.col("a") == hub) & (F.col("b") < 3000) | (F.col("b") == hub) | (F.col("a") >= 3000) & (F.col("a") % 100 == F.col("b") % 100), linking.LINKED).otherwise(linking.FAR)
+    found = linking.components(linking.candidates_and_links(nodes, lambda pairs: pairs.select("a", "b", grade.alias("grade")))).collect()
+    assert {r.id: r.root for r in found} == {i: 0 if i < 3000 else 3000 + i % 100 for i in range(n)}
+
+
 def corpus(seed=1):
     """Documents, and groups of near copies of one of them each."""
     r = random.Random(seed)
