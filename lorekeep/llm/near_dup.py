@@ -2,7 +2,8 @@
 
 The k-mers of a document are its runs of five words, each labelled with its occurrence number (the third time a run comes up it is another k-mer). For each of SKETCHES
 hash functions the ELL smallest k-mers are taken and kept in text order; the hash of that sequence is the signature. Equal signatures need equal k-mers in equal
-order, which makes them sensitive to edit similarity and not only to shared content. Documents with an equal signature are candidates (linking.py), and a pair is linked if
+order, which makes them sensitive to edit similarity and not only to shared content. Three runs in one signature find few pairs beyond 10 % of edits, so the smallest run of LOOSE_K words under each of LOOSE further hash
+functions is a signature too; as these collide on any shared passage, they are told apart by length class, and every text has those of its class and the next, so that lengths as similar as a link needs meet. Documents with an equal signature are candidates (linking.py), and a pair is linked if
 its word edit distance is at most a fifth of the longer text's words: similarity 0.8. The distance comes from an alignment banded by the number of
 edits allowed: for each count of edits, the furthest place reached on each diagonal of the band, extended over equal words by comparing hashes of runs.
 
@@ -22,6 +23,7 @@ from .common import cut, small, text_of
 from .linking import FAR, LINKED, candidates_and_links, components
 
 K, ELL, SKETCHES, SIMILARITY, BINS = 5, 3, 16, 0.8, 128
+LOOSE_K, LOOSE = 4, 24
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch", i) for i in range(64)], np.uint64)[:, None]
 _words: dict[str, int] = {}
@@ -89,6 +91,18 @@ def sketches(text: str, sketches: int = SKETCHES, ell: int = ELL) -> tuple[int,
     return len(h), signature.view(np.int64).tolist()
 
 
+def loose(text: str) -> list[int]:
+    """The signatures of one run each, for the text's length class and the next."""
+    h = word_hashes(text.split())
+    if not len(h):
+        return []
+    low = mixed(labelled(runs(h, LOOSE_K))[None, :] ^ _SEEDS[SKETCHES : SKETCHES + LOOSE]).min(axis=1)
+    # a little over the ratio of lengths that a link allows, against rounding
+    at = int(np.log(len(h)) / np.log(1 / SIMILARITY + 1e-6))
+    # even classes first, so that a class has one position in all texts
+    return np.concatenate([mixed(low + np.uint64(c) * _ODD[2]) for c in sorted((at, at + 1), key=lambda c: c % 2)]).view(np.int64).tolist()
+
+
 def bag(text: str) -> list[int]:
     """The number of words, and of those with each of BINS hashes."""
     h = word_hashes(text.split())
@@ -178,7 +192,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            got = [sketches(t.as_py())[1] for t in batch.column(3)]
+            got = [sketches(t.as_py())[1] + loose(t.as_py()) for t in batch.column(3)]
             bags = [bag(t.as_py()) for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(got, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32()))], names=["doc_id", "h1", "h2", "keys", "hint"])
 

@@ -102,6 +102,23 @@ def test_classes(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_recall_by_edits(spark):
+    """Copies with up to the edits that a link allows are found, and all with more are left."""
+    r = random.Random(7)
+    text = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows, rates = [], (5, 10, 15, 20, 25)
+    for rate in rates:
+        for n in (60, 200) * 25:
+            a = text(n)
+            b = list(a)
+            for k in r.sample(range(n), rate * n // 100):
+                b[k] = f"x{r.randrange(5000)}"
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = {x.doc_id: x.class_id for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [sum(got[i + 1] == got[i] == i for i in range(100 * k, 100 * k + 100, 2)) / 50 for k in range(len(rates))]
+    assert min(found[:4]) >= 0.95 and found[4] == 0, found
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.classes(df).count() == 0 and near_dup.one_of_each(df).count() == 0
