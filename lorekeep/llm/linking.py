@@ -1,7 +1,7 @@
 """Links and components for the near-duplicate operators. DataFrame functions only.
 
 candidates: nodes with signatures fall into buckets. A bucket of few nodes gives all its pairs. In a larger one representatives are tested against all members that are not yet known to be in their
-component, and leave the bucket; the linked members stay in it for the others. The next round takes four times as many representatives, those with most links first, until the members
+component, and leave the bucket; the linked members stay in it for the others. The next round takes eight times as many representatives, those with most links first, until the members
 left are of one component, so that every pair of a bucket is tested unless other links connect it. A bucket of nodes that resemble one of them costs a few tests for each node; only one whose members are all unlike costs all its pairs,
 less those that the operator's bound (close) tells apart without a look at their texts.
 
@@ -37,6 +37,7 @@ def links_in_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame],
     rows = rows.select("bucket", "id", hint.alias("hint"), F.col("id").alias("root"), F.lit(0).cast("long").alias("degree"))
     known = None  # id and root of the nodes linked so far
     found, level, wide = [], 0, 1
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism  # few rows make many pairs
 
     def open_pairs(x: DataFrame, y: DataFrame, only: Column) -> DataFrame:
         """Pairs of members of x and y in one bucket that are not known to be in one component."""
@@ -54,7 +55,7 @@ def links_in_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame],
         order, part = F.xxhash64("id", F.lit(level)), F.pmod(F.xxhash64("id", F.lit(level), F.lit("part")), F.lit(wide))
         chosen = big.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("degree")).alias("d"), order.alias("o"), "id", "root", "hint")).alias("r")).select("bucket", "r.id", "r.root", "r.hint")
         chosen = small(cut(chosen), 100_000)
-        pairs = [sizes.where("n = 2").select("a", "b"), open_pairs(some, some, F.col("x.id") < F.col("y.id")), open_pairs(big, chosen, F.col("x.id") != F.col("y.id"))]
+        pairs = [sizes.where("n = 2").select("a", "b"), open_pairs(some, some, F.col("x.id") < F.col("y.id")), open_pairs(big.repartition(tasks, "id"), chosen, F.col("x.id") != F.col("y.id"))]
         graded = cut(verify(cut(reduce(DataFrame.unionByName, pairs).distinct())))
         new = graded.where(F.col("grade") == LINKED).select("a", "b")
         found.append(new)
@@ -66,7 +67,7 @@ def links_in_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame],
         known = cut(components(edges))
         degree = reduce(DataFrame.unionByName, found).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
         rows = cut(rest.join(known, "id", "left").join(degree, "id", "left").select("bucket", "id", "hint", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
-        level, wide = level + 1, min(4 * wide, MOST)
+        level, wide = level + 1, min(8 * wide, MOST)
     return reduce(DataFrame.unionByName, found).distinct()
 
 
