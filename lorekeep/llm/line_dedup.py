@@ -1,15 +1,20 @@
 """Fuzzy line deduplication by MinHash. DataFrame functions only.
 
-Lines are told apart by a 64-bit hash (checked by a second one). The shingles of a line are its runs of eight UTF-16 units (a shorter line is one shingle). MINS minimum hashes over the shingles make the
-signature; bands of ROWS of them give the buckets, with high recall at the similarity sought. Pairs of lines in a bucket (linking.py) are verified by the exact Jaccard similarity of their shingle sets,
-and union-find makes components. Of each component one line stays: the first one in the document with the smallest id; all others go, whether copies or near-duplicates.
-
-The minima are computed without a row per shingle: a line is cut into overlapping chunks of CHUNK shingles, whose hashes are columns of one
-generated row; least() over them gives the chunk's minima and a partial aggregation the line's.
-
-Edge cases. Lines are separated by \\n. Blank lines (white space only) stay, and so does everything in documents with a null id. A null text stays null. Documents that lose all lines keep an empty text.
-Rows that repeat a doc_id count as one document: each keeps what that document keeps. Lines whose first hashes collide while the second ones differ are left alone. Very long lines
-are treated in full. An empty table gives no rows. Extra columns stay.
+Lines are told apart by a 64-bit hash (checked by a second one). The shingles of a line are its runs of eight UTF-16
+units (a shorter line is one shingle). MINS minimum hashes over the shingles make the signature; bands of ROWS of them
+give the buckets: two lines at a similarity of 0.8 share one with a probability of 0.997. Pairs of lines in a bucket
+(linking.py) are verified by the exact Jaccard similarity of their shingle sets, all of them but those that other links
+connect, and union-find makes components. Of each component one line stays: the first one in the document with the
+smallest id; all others go, whether copies or near-duplicates.
+
+The minima are computed without a row per shingle: a line is cut into overlapping chunks of CHUNK shingles, whose hashes
+are columns of one generated row; least() over them gives the chunk's minima and a partial aggregation the line's.
+
+Edge cases. Lines are separated by \\n. Blank lines (white space only) stay, and so does everything in documents with a
+null id. A null text stays null. Documents that lose all lines keep an empty text. Rows with one id and different texts
+are different documents, in the order of a hash of their texts; rows that repeat id and text are one document, and each
+keeps what it keeps. Lines whose first hashes collide while the second ones differ are left alone. Very long lines are
+treated in full. An empty table gives no rows. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -17,15 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, small, text_of
-from .linking import FAR, LINKED, candidates_and_links, components
+from .linking import components, links_in_buckets
 
-SHINGLE, CHUNK, MINS, ROWS, SIMILARITY, AGREE = 8, 16, 12, 2, 0.8, 5
+SHINGLE, CHUNK, MINS, ROWS, SIMILARITY = 8, 16, 24, 3, 0.8
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line, h1, h2 of the lines that take part."""
-    x = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n", -1)).alias("pos", "line"))
-    return x.where(F.col("line").rlike(r"\S")).select("doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    """doc (id and mark, a hash of the text), pos, line, h1, h2 of the lines that take part."""
+    doc = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("mark")).alias("doc")
+    x = docs.where("doc_id is not null").select(doc, F.posexplode(F.split(text_of(), "\n", -1)).alias("pos", "line"))
+    x = x.where(F.col("line").rlike(r"\S"))
+    return x.select("doc", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def constant(j: int) -> int:
@@ -35,16 +42,24 @@ def constant(j: int) -> int:
 
 
 def signed_lines(lines: DataFrame) -> DataFrame:
-    """Per line hash h1: how often it comes up, the smallest document it is in, whether its second hashes agree, and the minima m0, m1, ..."""
+    """Per line hash h1: how often it comes up, and the minima m0, m1, ... Lines whose second hashes differ are left out."""
     units = F.encode("line", "UTF-16BE")
-    x = lines.select("doc_id", "h1", "h2", units.alias("b"), F.greatest(F.lit(1), (F.length(units) / 2 - (SHINGLE - 1)).cast("int")).alias("n"))
-    x = x.select("doc_id", "h1", "h2", "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))).alias("c"))
-    x = x.select("doc_id", "h1", "h2", "c", F.least(F.lit(CHUNK), F.col("n") - F.col("c")).alias("here"), F.expr(f"substring(b, 2 * c + 1, {2 * (CHUNK + SHINGLE - 1)})").alias("k"))
+    count = F.greatest(F.lit(1), (F.length(units) / 2 - (SHINGLE - 1)).cast("int"))
+    x = lines.select("h1", "h2", units.alias("b"), count.alias("n"))
+    x = x.select("h1", "h2", "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))).alias("c"))
+    chunk = F.expr(f"substring(b, 2 * c + 1, {2 * (CHUNK + SHINGLE - 1)})")
+    x = x.select("h1", "h2", "c", F.least(F.lit(CHUNK), F.col("n") - F.col("c")).alias("here"), chunk.alias("k"))
     # places beyond the last shingle repeat the last one
     hashes = [F.hash(F.expr(f"substring(k, 2 * least({i}, here - 1) + 1, {2 * SHINGLE})")).alias(f"x{i}") for i in range(CHUNK)]
-    x = x.select("doc_id", "h1", "h2", "c", *hashes)
-    low = [F.min(F.least(*[F.col(f"x{i}").bitwiseXOR(F.lit(constant(j))) for i in range(CHUNK)])).alias(f"m{j}") for j in range(MINS)]
-    return x.groupBy("h1").agg(F.sum((F.col("c") == 0).cast("long")).alias("times"), F.min("doc_id").alias("first_doc"), F.min("h2").alias("_lo"), F.max("h2").alias("_hi"), *low)
+    x = x.select("h1", "h2", "c", *hashes)
+
+    def low(j: int) -> Column:
+        return F.min(F.least(*[F.col(f"x{i}").bitwiseXOR(F.lit(constant(j))) for i in range(CHUNK)])).alias(f"m{j}")
+
+    times = F.sum((F.col("c") == 0).cast("long")).alias("times")
+    second = [F.min("h2").alias("_lo"), F.max("h2").alias("_hi")]
+    x = x.groupBy("h1").agg(times, *second, *[low(j) for j in range(MINS)])
+    return x.where("_lo = _hi").drop("_lo", "_hi")
 
 
 def shingle_set(line: Column) -> Column:
@@ -52,77 +67,83 @@ def shingle_set(line: Column) -> Column:
 
     def of(units: Column) -> Column:
         n = F.greatest(F.lit(1), (F.length(units) / 2 - (SHINGLE - 1)).cast("int"))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.substr(units, 2 * i + 1, F.lit(2 * SHINGLE)))))
+        at = F.sequence(F.lit(0), n - 1)
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substr(units, 2 * i + 1, F.lit(2 * SHINGLE)))))
 
     # through an array of one, so that the line is encoded once and not once a shingle
     return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), of), 1)
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """Whether at least AGREE of the minima are equal."""
-    return sum((F.get(a, F.lit(j)) == F.get(b, F.lit(j))).cast("int") for j in range(MINS)) >= AGREE
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two sets."""
+    made = F.struct(a.alias("a"), b.alias("b"), F.size(F.array_intersect(a, b)).alias("both"))
+    # through an array of one, so that the sets are made once
+    return F.element_at(F.transform(F.array(made), lambda t: t["both"] / (F.size(t["a"]) + F.size(t["b"]) - t["both"])), 1)
 
 
-def verifier(lines: DataFrame, signed: DataFrame):
-    """pairs (a, b) of line hashes -> (a, b, grade) by exact Jaccard similarity. Pairs of which fewer than AGREE minima are equal are far without looking at their lines: at the
-    similarity sought that happens to one pair in 1,700."""
-    minima = signed.select("h1", F.array(*[f"m{j}" for j in range(MINS)]).alias("m"))
+def verifier(lines: DataFrame):
+    """For linking.py: pairs (a, b) of line hashes -> those with an exact Jaccard similarity of SIMILARITY or more."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        one, two = (minima.select(F.col("h1").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
-        close = cut(pairs.join(one, "a").join(two, "b").where(agreeing(F.col("ma"), F.col("mb"))).select("a", "b"))
-        wanted = close.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-        texts = lines.select("h1", "line").join(small(wanted, 200_000), "h1", "left_semi").dropDuplicates(["h1"])
+    def of(ids: DataFrame):
+        wanted = small(ids.select(F.col("id").alias("h1")), 200_000)
+        texts = cut(lines.select("h1", "line").join(wanted, "h1", "left_semi").dropDuplicates(["h1"]))
         one, two = (texts.select(F.col("h1").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-        x = close.join(one, "a").join(two, "b").select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
-        # through an array of one, so that the sets are made once
-        jaccard = F.element_at(F.transform(F.array(F.struct("sa", "sb", F.size(F.array_intersect("sa", "sb")).alias("both"))), lambda t: t["both"] / (F.size(t["sa"]) + F.size(t["sb"]) - t["both"])), 1)
-        return x.select("a", "b", jaccard.alias("j")).select("a", "b", F.when(F.col("j") >= SIMILARITY, LINKED).otherwise(FAR).alias("grade"))
 
-    return verify
+        def verify(pairs: DataFrame) -> DataFrame:
+            x = pairs.join(one, "a").join(two, "b")
+            x = x.select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
+            return x.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("j")).where(F.col("j") >= SIMILARITY).select("a", "b")
+
+        return verify
+
+    return of
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, pos of the lines that go."""
+    """doc, pos of the lines that go."""
     lines = lines_of(docs)
-    signed = signed_lines(lines).where("_lo = _hi").persist()
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(MINS // ROWS)])
-    minima = F.array(*[f"m{j}" for j in range(MINS)])
-    links = cut(candidates_and_links(signed.select(F.col("h1").alias("id"), bands.alias("keys"), minima.alias("hint")), verifier(lines, signed), close=agreeing))
+    signed = signed_lines(lines).persist()
+    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(MINS // ROWS)]
+    rows = signed.select(F.col("h1").alias("id"), F.explode(F.array(*bands)).alias("bucket"))
+    links = cut(links_in_buckets(rows, verifier(lines)))
     roots = components(links)
-    firsts = signed.select("h1", "times", "first_doc").join(roots.withColumnRenamed("id", "h1"), "h1", "left").where("times > 1 or root is not null").select("h1", "first_doc", F.coalesce("root", "h1").alias("root"))
-    firsts = cut(firsts)
+    known = signed.select("h1", "times").join(roots.withColumnRenamed("id", "h1"), "h1", "left")
+    known = cut(known.where("times > 1 or root is not null").select("h1", F.coalesce("root", "h1").alias("root")))
     signed.unpersist()
-    keep = firsts.groupBy("root").agg(F.min("first_doc").alias("keep_doc"))
-    known = firsts.select("h1", "root").join(keep, "root")
-    x = lines.select("doc_id", "pos", "h1").distinct().join(known, "h1")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("pos"))
-    return x.withColumn("nth", nth).where((F.col("doc_id") != F.col("keep_doc")) | (F.col("nth") > 1)).select("doc_id", "pos")
+    x = cut(lines.select("doc", "pos", "h1").join(small(known), "h1").select("doc", "pos", "root"))
+    stays = cut(x.groupBy("root").agg(F.min(F.struct("doc", "pos")).alias("stays")))
+    return x.join(small(stays), "root").where(F.struct("doc", "pos") != F.col("stays")).select("doc", "pos")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines that go taken out of text, and columns n_lines and n_dropped."""
-    gone = cut(decisions(docs))
-    flags = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("_gone")).withColumnRenamed("doc_id", "_id")
-    x = docs.join(flags, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    flags = cut(decisions(docs).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("_gone")))
+    flags = flags.select(F.col("doc.id").alias("_id"), F.col("doc.mark").alias("_mark"), "_gone")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(text_of()) == F.col("_mark"))
+    x = docs.join(flags, same, "left").drop("_id", "_mark")
     all_lines = F.split(F.col("text"), "\n", -1)
 
     def kept(both: Column) -> Column:
         """both: lines and bounds. The runs of lines between dropped places."""
         at, lines = both["bounds"], both["lines"]
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda i: F.slice(lines, F.element_at(at, i) + 2, F.element_at(at, i + 1) - F.element_at(at, i) - 1)))
+
+        def run(i: Column) -> Column:
+            return F.slice(lines, F.element_at(at, i) + 2, F.element_at(at, i + 1) - F.element_at(at, i) - 1)
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(at) - 1), run))
 
     bounds = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(all_lines)))
     # through an array of one, so that the text is split once and not once a run
     left = F.element_at(F.transform(F.array(F.struct(all_lines.alias("lines"), bounds.alias("bounds"))), kept), 1)
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    x = x.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines))).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0))).withColumn("n_dropped", F.greatest(F.lit(0), "n_dropped"))
+    x = x.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)))
+    x = x.withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
     return x.withColumn("text", text).drop("_gone")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs, text and n_chars without the lines that go; the columns of docs."""
-    out = dedup_lines(docs.select("*") if "n_lines" not in docs.columns else docs)
+    out = dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -1,11 +1,20 @@
 """Links and components for the near-duplicate operators. DataFrame functions only.
 
-candidates: nodes with signatures fall into buckets. A bucket of few nodes gives all its pairs. In a larger one representatives are tested against all members that are not yet known to be in their
-component, and leave the bucket; the linked members stay in it for the others. The next round takes eight times as many representatives, those with most links first, until the members
-left are of one component, so that every pair of a bucket is tested unless other links connect it. A bucket of nodes that resemble one of them costs a few tests for each node; only one whose members are all unlike costs all its pairs,
-less those that the operator's bound (close) tells apart without a look at their texts.
+links_in_buckets: nodes fall into buckets, and those that share one may be linked. It returns links with the same
+components as those of all pairs that share a bucket, for buckets of any size. A bucket works in rounds. In each,
+representatives are tested against the members whose component is another one, and leave the bucket, for they have met
+everybody. Members that are linked stay for the others. The bucket is done when its members are of one component.
 
-components: union-find by alternating large-star and small-star steps, each a join and a partial aggregation; a hot node's edges are never collected.
+- Round 0 takes one representative, the same for buckets of nearly the same members.
+- Round 1 takes eight, those with most links first, which finds the original of many copies.
+- Later rounds take 64, 512, 1024, ..., those with fewest links first: the odd ones out among many alike.
+- A bucket with FEW members left tests all its pairs of different components.
+
+Members that are alike cost a few tests each. Only a bucket of unlike members costs all its pairs, less those that the
+operator's bound `close` tells apart without a look at their texts. A round's pairs are rows that are spread over all
+tasks; no bucket is collected into one.
+
+components: union-find by alternating large-star and small-star steps, each a join and a partial aggregation.
 """
 
 from __future__ import annotations
@@ -17,74 +26,120 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, small
 
-#: Buckets of up to so many nodes give all pairs; larger ones at most so many representatives a round.
-FEW, MOST = 24, 1024
-#: What verify says of a pair.
-FAR, LINKED = 0, 1
+#: Buckets of so many members test all pairs after the first round; the most representatives of a bucket in a round.
+FEW, MOST = 8, 1024
 
+Close = Callable[[Column, Column], Column]
 
-def candidates_and_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = FEW, close: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """nodes: id long (unique, not null), keys array<long> (the signatures, by position), and hint if close is given. verify: pairs (a, b), a < b -> (a, b, grade).
-    close: two hints -> false only if verify would not link the pair. Returns links (a, b) that connect all nodes which the links of pairs with a common signature connect."""
-    hint = ["hint"] if close else []
-    rows = nodes.select("id", *hint, F.posexplode("keys").alias("pos", "key")).select("id", *hint, F.xxhash64("pos", "key").alias("bucket"))
-    return links_in_buckets(rows, verify, few, close)
 
+def links_in_buckets(
+    rows: DataFrame,
+    verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    close: Close | None = None,
+    hints: DataFrame | None = None,
+    few: int = FEW,
+) -> DataFrame:
+    """Links (a, b), a < b, that connect what the verified pairs of all buckets connect.
 
-def links_in_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = FEW, close: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """rows: id, bucket (distinct), and hint if close is given. verify and close as above."""
-    hint = F.col("hint") if close else F.lit(None).cast("int")
-    rows = rows.select("bucket", "id", hint.alias("hint"), F.col("id").alias("root"), F.lit(0).cast("long").alias("degree"))
-    known = None  # id and root of the nodes linked so far
-    found, level, wide = [], 0, 1
-    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism  # few rows make many pairs
-
-    def open_pairs(x: DataFrame, y: DataFrame, only: Column) -> DataFrame:
-        """Pairs of members of x and y in one bucket that are not known to be in one component."""
-        one, two = (t.select("bucket", F.struct("id", "root", "hint").alias(n)) for t, n in ((x, "x"), (y, "y")))
-        both = one.join(two, "bucket").where(only & (F.col("x.root") != F.col("y.root")))
-        both = both.where(close(F.col("x.hint"), F.col("y.hint"))) if close else both
-        return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    rows: id long, bucket long, and hint if close is given without hints; a row for each place of a node in a bucket.
+    verifier: the ids that may come up, once each -> a function from pairs (a, b), a < b, to those that are linked.
+    close: two hints -> false only if the pair would not be linked. hints: id, hint, where they belong to the node.
+    """
+    members = F.xxhash64(*[c for c in rows.columns if c != "bucket"])
+    sizes = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("id").alias("a"),
+        F.max("id").alias("b"),
+        F.bit_xor(members).alias("x"),
+    )
+    sizes = cut(sizes.where("a < b"))
+    # of buckets with the same members one is enough
+    several = cut(sizes.where("n > 2").dropDuplicates(["n", "a", "b", "x"]).select("bucket"))
+    pairs = [sizes.where("n = 2").select("a", "b")]
+    here = rows.join(small(several), "bucket")
+    if hints is not None:
+        here = here.join(hints, "id")
+    if "hint" not in here.columns:
+        here = here.withColumn("hint", F.lit(None).cast("int"))
+    here = cut(here.select("bucket", "id", "hint", F.col("id").alias("root"), F.lit(0).cast("long").alias("degree")))
+    ends = pairs[0].select(F.explode(F.array("a", "b")).alias("id")).unionByName(here.select("id"))
+    verify = verifier(cut(ends.distinct()))
+    counted = None
 
+    found, level, wide = [], 0, 1
     while True:
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        sizes = cut(sizes)
-        shared = cut(rows.join(small(sizes.where("n > 2").select("bucket", "n"), 100_000), "bucket"))
-        some, big = shared.where(F.col("n") <= few), shared.where(F.col("n") > few)
-        # the same order in all buckets, so that those of the same members have the same representatives
-        order, part = F.xxhash64("id", F.lit(level)), F.pmod(F.xxhash64("id", F.lit(level), F.lit("part")), F.lit(wide))
-        chosen = big.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("degree")).alias("d"), order.alias("o"), "id", "root", "hint")).alias("r")).select("bucket", "r.id", "r.root", "r.hint")
-        chosen = small(cut(chosen), 100_000)
-        pairs = [sizes.where("n = 2").select("a", "b"), open_pairs(some, some, F.col("x.id") < F.col("y.id")), open_pairs(big.repartition(tasks, "id"), chosen, F.col("x.id") != F.col("y.id"))]
-        graded = cut(verify(cut(reduce(DataFrame.unionByName, pairs).distinct())))
-        new = graded.where(F.col("grade") == LINKED).select("a", "b")
+        chosen = representatives(here, counted, level, wide, few)
+        pairs.append(open_pairs(here, chosen, close))
+        new = cut(verify(cut(reduce(DataFrame.unionByName, pairs).distinct())))
         found.append(new)
-        if big.isEmpty():
-            break
-        # a representative has met all others of its bucket
-        rest = big.select("bucket", "id", "hint").join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        edges = new if known is None else new.unionByName(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        known = cut(components(edges))
-        degree = reduce(DataFrame.unionByName, found).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        rows = cut(rest.join(known, "id", "left").join(degree, "id", "left").select("bucket", "id", "hint", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        pairs = []
+        links = reduce(DataFrame.unionByName, found)
+        rest = here.select("bucket", "id", "hint").join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        rest = rest.join(cut(known_of(links)), "id", "left")
+        rest = rest.withColumns({"root": F.coalesce("root", "id"), "degree": F.coalesce("degree", F.lit(0))})
+        # a representative has met all others, those that left with it too
+        rest = cut(rest.select("bucket", "id", "hint", "root", "degree"))
+        of_bucket = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        counted = cut(of_bucket.where("lo < hi").select("bucket", "left"))
+        if counted.isEmpty():
+            return links.distinct()
+        here = cut(rest.join(small(counted.select("bucket")), "bucket", "left_semi"))
         level, wide = level + 1, min(8 * wide, MOST)
-    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def representatives(here: DataFrame, counted: DataFrame | None, level: int, wide: int, few: int) -> DataFrame:
+    """bucket, id, root, hint of this round's; one for each of `wide` parts of a bucket, all where few are left."""
+    order = F.xxhash64("id", F.lit(level))
+    part = F.pmod(F.xxhash64("id", F.lit(level), F.lit("part")), F.lit(wide))
+    degree = -F.col("degree") if level < 2 else F.col("degree")
+    first = F.min(F.struct(degree.alias("d"), order.alias("o"), "id", "root", "hint")).alias("r")
+    if level == 0:
+        return cut(here.groupBy("bucket").agg(first).select("bucket", "r.id", "r.root", "r.hint"))
+    sized = here.join(small(counted), "bucket")
+    one = sized.where(F.col("left") > few).groupBy("bucket", part.alias("part")).agg(first)
+    every = sized.where(F.col("left") <= few).select("bucket", "id", "root", "hint")
+    return cut(one.select("bucket", "r.id", "r.root", "r.hint").unionByName(every))
+
+
+def open_pairs(here: DataFrame, chosen: DataFrame, close: Close | None) -> DataFrame:
+    """a, b: members and representatives of one bucket that are not known to be of one component."""
+    x = here.select("bucket", F.struct("id", "root", "hint").alias("x"))
+    y = chosen.select("bucket", F.struct("id", "root", "hint").alias("y"))
+    on = F.col("x.root") != F.col("y.root")
+    if close:
+        on = on & close(F.col("x.hint"), F.col("y.hint"))
+    both = x.join(small(y), "bucket").where(on)
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def known_of(links: DataFrame) -> DataFrame:
+    """id, root, degree of the nodes with links."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    return components(links).join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every node of the links (a, b): root is the smallest id of its component."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    now = state(edges)
+    wide, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    edges = cut(links.where("a <> b").select(wide, low).distinct())
+    now = _state(edges)
     while True:
+        # large star: the larger neighbours of a node go to the smallest of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u")
-        edges = cut(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        before, now = now, state(edges)
+        rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, _state(edges)
         if now == before:
             break
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
     return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Tells two sets of edges apart."""
+    of = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(of), F.sum(F.shiftright(of, 24))).first())

@@ -1,15 +1,24 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-The k-mers of a document are its runs of five words, each labelled with its occurrence number (the third time a run comes up it is another k-mer). For each of SKETCHES
-hash functions the ELL smallest k-mers are taken and kept in text order; the hash of that sequence is the signature. Equal signatures need equal k-mers in equal
-order, which makes them sensitive to edit similarity and not only to shared content. Three runs in one signature find few pairs beyond 10 % of edits, so the smallest run of LOOSE_K words under each of LOOSE further hash
-functions is a signature too; as these collide on any shared passage, they are told apart by length class, and every text has those of its class and the next, so that lengths as similar as a link needs meet. Documents with an equal signature are candidates (linking.py), and a pair is linked if
-its word edit distance is at most a fifth of the longer text's words: similarity 0.8. The distance comes from an alignment banded by the number of
-edits allowed: for each count of edits, the furthest place reached on each diagonal of the band, extended over equal words by comparing hashes of runs.
-
-Copies of one text are one node; each document gets the class of its text. Edge cases. A null text is an empty one, and empty texts are copies of each other. A text of less than five
-words has one k-mer, all its words. Texts of very many words are aligned in full. Documents with a null id have no class. Repeated rows are copies and are all returned; keeping one of each class keeps
-one row of them. An empty table gives no rows; extra columns do not take part.
+The k-mers of a document are its runs of five words, each labelled with its occurrence number (the third time a run
+comes up it is another k-mer). Under each of FUNCTIONS hash functions the smallest k-mer is sampled together with its
+place. Every two of the sampled k-mers, in the order in which they stand in the text, are a signature: equal signatures
+need equal k-mers in equal order, which makes them sensitive to edit similarity and not only to shared content. Sampled
+k-mers that no other text samples are dropped after counting, before the signatures are made, so that texts without a
+relative make none. Texts with an equal signature are candidates (linking.py), and a pair is linked if its word edit
+distance is at most a fifth of the longer text's words: similarity 0.8.
+
+The distance comes from an alignment banded by the number of edits allowed: for each count of edits, the furthest place
+reached on each diagonal of the band, extended over equal words by comparing hashes of runs. Before it, two exact bounds
+settle most pairs: from below, runs of one to four words that only one text has; from above, the cost of the alignment
+through the runs of four words that come up once in either text.
+
+Copies of one text are one node; each document gets the class of its text. Edge cases. A null text is an empty one, and
+empty texts are copies of each other. A text of less than five words has one k-mer, all its words. Texts of very many
+words are aligned in full. Documents with a null id have no class. Rows with one id and different texts are judged by
+their texts. Repeated rows are copies and are all returned; keeping one of each class keeps one row of them, that with
+the smallest id and, of one id, the smallest hash of the text. Texts whose first hashes collide while the second ones
+differ are classes of their own. An empty table gives no rows; extra columns do not take part.
 """
 
 from __future__ import annotations
@@ -20,12 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, small, text_of
-from .linking import FAR, LINKED, candidates_and_links, components
+from .linking import components, links_in_buckets
 
-K, ELL, SKETCHES, SIMILARITY, BINS = 5, 3, 16, 0.8, 128
-LOOSE_K, LOOSE = 4, 24
+K, FUNCTIONS, SIMILARITY, BINS = 5, 24, 0.8, 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch", i) for i in range(64)], np.uint64)[:, None]
+_SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch", i) for i in range(FUNCTIONS)], np.uint64)
 _words: dict[str, int] = {}
 
 
@@ -74,46 +82,30 @@ def labelled(g: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(text: str, sketches: int = SKETCHES, ell: int = ELL) -> tuple[int, list[int]]:
-    """Number of words, and the signatures."""
-    h = word_hashes(text.split())
-    if not len(h):
-        return 0, []
+def minima(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled k-mers of a text's word hashes, one for each function, and their places."""
     g = labelled(runs(h))
-    x = mixed(g[None, :] ^ _SEEDS[:sketches])
-    if len(g) > ell:
-        places = np.sort(np.argpartition(x, ell - 1, axis=1)[:, :ell], axis=1)
-    else:
-        places = np.tile(np.arange(len(g)), (sketches, 1))
-    signature = np.zeros(sketches, np.uint64)
-    for j in range(places.shape[1]):
-        signature = mixed(signature * _ODD[1] + g[places[:, j]] + np.uint64(j))
-    return len(h), signature.view(np.int64).tolist()
-
-
-def loose(text: str) -> list[int]:
-    """The signatures of one run each, for the text's length class and the next."""
-    h = word_hashes(text.split())
-    if not len(h):
-        return []
-    low = mixed(labelled(runs(h, LOOSE_K))[None, :] ^ _SEEDS[SKETCHES : SKETCHES + LOOSE]).min(axis=1)
-    # a little over the ratio of lengths that a link allows, against rounding
-    at = int(np.log(len(h)) / np.log(1 / SIMILARITY + 1e-6))
-    # even classes first, so that a class has one position in all texts
-    return np.concatenate([mixed(low + np.uint64(c) * _ODD[2]) for c in sorted((at, at + 1), key=lambda c: c % 2)]).view(np.int64).tolist()
+    if not len(g):
+        return g, np.zeros(0, np.int64)
+    places = np.array([int(mixed(g ^ seed).argmin()) for seed in _SEEDS])
+    return g[places], places
+
 
+def bag(h: np.ndarray) -> np.ndarray:
+    """How many words have each of BINS hashes, 127 at most."""
+    return np.minimum(127, np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)).astype(np.int8)
 
-def bag(text: str) -> list[int]:
-    """The number of words, and of those with each of BINS hashes."""
-    h = word_hashes(text.split())
-    return [len(h), *np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS).tolist()]
 
+def close(x: Column, y: Column) -> Column:
+    """False for two hints (words, bag) whose texts have more words without a partner than edits are allowed."""
+    allowed = F.floor((1 - SIMILARITY) * F.greatest(x["words"], y["words"]) + 1e-9)
 
-def close(a: Column, b: Column) -> Column:
-    """False for two bags whose texts have more words without a partner than edits are allowed."""
-    longest = F.greatest(F.get(a, F.lit(0)), F.get(b, F.lit(0)))
-    paired = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) - F.least(F.get(a, F.lit(0)), F.get(b, F.lit(0)))
-    return longest - paired <= F.floor((1 - SIMILARITY) * longest + 1e-9)
+    def more(p: Column, q: Column) -> Column:
+        zero = F.lit(0)
+        return F.aggregate(F.zip_with(p, q, lambda a, b: F.greatest(zero, a.cast("int") - b.cast("int"))), zero, lambda s, v: s + v)
+
+    apart = F.abs(x["words"] - y["words"])
+    return (apart <= allowed) & (more(x["bag"], y["bag"]) <= allowed) & (more(y["bag"], x["bag"]) <= allowed)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -177,65 +169,170 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
-def grade(a: str, b: str, similarity: float = SIMILARITY) -> int:
-    """LINKED at this similarity, else FAR."""
-    a, b = a.split(), b.split()
+def shared_runs(a: np.ndarray, b: np.ndarray, k: int) -> int:
+    """How many runs of k words two texts share, each as often as both have it."""
+    both = np.concatenate([runs(a, k), runs(b, k)])
+    n = len(a) - k + 1
+    _, place = np.unique(both, return_inverse=True)
+    most = int(place.max()) + 1
+    return int(np.minimum(np.bincount(place[:n], minlength=most), np.bincount(place[n:], minlength=most)).sum())
+
+
+def at_most(a: np.ndarray, b: np.ndarray, k: int = 4) -> int:
+    """An upper bound of the edit distance: the cost of the alignment through the runs of k words that come up once in
+    either text and are crossed by no other of them."""
+    n, m = len(a), len(b)
+    if min(n, m) < k:
+        return max(n, m)
+    ka, ia, ca = np.unique(runs(a, k), return_index=True, return_counts=True)
+    kb, ib, cb = np.unique(runs(b, k), return_index=True, return_counts=True)
+    _, x, y = np.intersect1d(ka[ca == 1], kb[cb == 1], assume_unique=True, return_indices=True)
+    i, j = ia[ca == 1][x], ib[cb == 1][y]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    straight = (np.maximum.accumulate(j) == j) & (np.minimum.accumulate(j[::-1])[::-1] == j)
+    i, j = np.r_[-1, i[straight], n], np.r_[-1, j[straight], m]
+    gi, gj = np.diff(i) - 1, np.diff(j) - 1
+    even = gi == gj
+    cost = int(np.maximum(gi, gj)[~even].sum())
+    wide = gi[even]
+    inside = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
+    at = np.repeat(i[:-1][even] + 1, wide) + inside
+    return cost + int((a[at] != b[at + np.repeat((j - i)[:-1][even], wide)]).sum())
+
+
+def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two texts, given by the hashes of their words, have this word edit similarity."""
     longest = max(len(a), len(b))
     allowed = int((1 - similarity) * longest + 1e-9)
-    number: dict[str, int] = {}
-    a, b = (np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (a, b))
-    return FAR if edit_distance(a, b, allowed) is None else LINKED
+    if longest - min(len(a), len(b)) > allowed:
+        return False
+    for k in (1, 2, 3, 4):  # an edit changes k runs at most
+        least = longest - k + 1 - k * allowed
+        if min(len(a), len(b)) >= k and least > 0 and shared_runs(a, b, k) < least:
+            return False
+    return at_most(a, b) <= allowed or edit_distance(a, b, allowed) is not None
+
+
+class Recent:
+    """What was made of the texts last asked for, by id, up to so many numbers in all: 16 MB."""
+
+    def __init__(self, make, most: int = 2_000_000):
+        self.make, self.most, self.size, self.held = make, most, 0, {}
+
+    def get(self, i: int, text: pa.StringScalar) -> np.ndarray:
+        g = self.held.pop(i, None)
+        if g is None:
+            g = self.make(text.as_py())
+            self.size += len(g)
+        self.held[i] = g  # as the latest
+        while self.size > self.most and len(self.held) > 2:
+            self.size -= len(self.held.pop(next(iter(self.held))))
+        return g
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text), keys, hint (its bag) for each row of docs with an id."""
+    """doc_id, h1, h2 (hashes of the text), words, mins, places, bag for each row of docs with an id."""
 
     def run(batches):
         for batch in batches:
-            got = [sketches(t.as_py())[1] + loose(t.as_py()) for t in batch.column(3)]
-            bags = [bag(t.as_py()) for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(got, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32()))], names=["doc_id", "h1", "h2", "keys", "hint"])
+            made = []
+            for t in batch.column(3):
+                h = word_hashes(t.as_py().split())
+                mins, places = minima(h)
+                made.append((len(h), mins.view(np.int64), places, bag(h)))
+            kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()))
+            columns = [pa.array([x[i] for x in made], kind) for i, kind in enumerate(kinds)]
+            names = ["doc_id", "h1", "h2", "words", "mins", "places", "bag"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=names)
 
     t = text_of()
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(7), t).alias("h2"), t.alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>, hint array<int>")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(7), t).alias("h2"), t.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, words int, mins array<long>, places array<int>, bag array<tinyint>")
+
+
+def order_buckets(nodes: DataFrame) -> DataFrame:
+    """id, bucket: for each text the signatures of every two of its sampled k-mers that others sample too.
+    nodes: id, mins, places."""
+    sampled = nodes.select("id", F.posexplode(F.arrays_zip("mins", "places")).alias("f", "s"))
+    sampled = sampled.select("id", "f", F.col("s.mins").alias("key"), F.col("s.places").alias("at"), F.xxhash64("f", "s.mins").alias("k"))
+    several = cut(sampled.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
+    shared = sampled.join(small(several, 200_000), "k").groupBy("id").agg(F.collect_list(F.struct("f", "key", "at")).alias("s"))
+
+    def signature(x: Column, y: Column) -> Column:
+        first, second = F.xxhash64(x["f"], x["key"], y["f"], y["key"]), F.xxhash64(y["f"], y["key"], x["f"], x["key"])
+        return F.when(x["at"] <= y["at"], first).otherwise(second)
+
+    pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y["f"] > x["f"]), lambda y: signature(x, y))))
+    return shared.where(F.size("s") > 1).select("id", F.explode(pairs).alias("bucket"))
 
 
 def verifier(docs: DataFrame):
-    """pairs (a, b) of doc_ids -> (a, b, grade) by alignment of their whole texts."""
+    """For linking.py: pairs (a, b) of text hashes -> those that are linked, by alignment of their whole texts."""
 
     def run(batches):
+        recent = Recent(lambda text: word_hashes(text.split()))
         for batch in batches:
-            got = [grade(a.as_py(), b.as_py()) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.int32())], names=["a", "b", "grade"])
+            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            texts = zip(batch.column(2), batch.column(3), strict=True)
+            good = [linked(recent.get(a, ta), recent.get(b, tb)) for (a, b), (ta, tb) in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def of(ids: DataFrame):
+        texts = texts_of(docs, ids)
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            return with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+
+        return verify
+
+    return of
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """h1, text of the texts with these hashes, once each."""
+    wanted = small(ids.select(F.col("id").alias("h1")), 200_000)
+    rows = docs.where("doc_id is not null").select(F.xxhash64(text_of()).alias("h1"), text_of().alias("text"))
+    return cut(rows.join(wanted, "h1", "left_semi").dropDuplicates(["h1"]))
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, ta, tb."""
+    one, two = (texts.select(F.col("h1").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(small(wanted, 200_000), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, grade int")
 
-    return verify
+def classes_of(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, h1, class_id (the smallest doc_id of the class) for each of rows (doc_id, h1, h2). links: of h1."""
+    x = rows.select("doc_id", "h1", "h2").join(cut(components(links)), rows["h1"] == F.col("id"), "left")
+    # texts that are linked to none are told apart by both hashes
+    x = x.select("doc_id", "h1", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("c2"))
+    first = x.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    x = x.join(small(cut(first.select("c1", "c2", "class_id"))), ["c1", "c2"], "left")
+    return x.select("doc_id", "h1", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), n_links (links of its text that were verified) for each row of docs with an id."""
+    """doc_id, h1 (hash of the text), class_id (the smallest doc_id of its class) for each row of docs with an id."""
     rows = cut(signatures(docs))
-    texts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("hint").alias("hint"))
-    nodes = texts.select("id", "keys", "hint").groupBy("id").agg(F.first("keys").alias("keys"), F.first("hint").alias("hint"))
-    links = cut(candidates_and_links(nodes, verifier(docs), close=close))
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = texts.select("h1", "h2", "id").join(roots, "id", "left").join(degree, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", "h1", "h2").join(known, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
+    both = [F.min("h2").alias("lo"), F.max("h2").alias("hi")]
+    nodes = rows.groupBy(F.col("h1").alias("id")).agg(*both, *[F.first(c).alias(c) for c in ("words", "mins", "places", "bag")])
+    nodes = cut(nodes.where("lo = hi"))
+    hints = nodes.select("id", F.struct("words", "bag").alias("hint"))
+    links = cut(links_in_buckets(order_buckets(nodes), verifier(docs), close=close, hints=hints))
+    return classes_of(rows, links)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose class another document stands for, and without repeats of the row that stands for it. Rows without an id stay."""
-    found = cut(classes(docs))
-    gone = cut(found.where("doc_id <> class_id").select("doc_id").distinct())
-    kept = docs.join(small(gone, 200_000), "doc_id", "left_anti")
-    again = cut(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    """docs with one row of each class. Rows without an id stay."""
+    found = cut(classes(docs).groupBy("class_id", "doc_id", "h1").agg(F.count(F.lit(1)).alias("n")))
+    stays = found.where("doc_id = class_id").groupBy("class_id").agg(F.min("h1").alias("stays"))
+    found = found.join(stays, "class_id").where("doc_id <> class_id or h1 <> stays or n > 1")
+    found = cut(found.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), (F.expr("doc_id = class_id and h1 = stays")).alias("_again")))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(text_of()) == F.col("_h1"))
+    left = docs.join(small(found, 200_000), same, "left_anti")
+    again = cut(found.where("_again"))
     if again.isEmpty():
-        return kept
-    again = small(again, 200_000)
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return left
+    more = docs.join(small(again), same, "left_semi").withColumn("_h1", F.xxhash64(text_of())).dropDuplicates(["doc_id", "_h1"])
+    return left.unionByName(more.drop("_h1"))

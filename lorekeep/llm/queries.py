@@ -65,7 +65,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document, and whether the document stays for it."""
     x = near_dup.classes(table(spark, sf_dir, "documents"))
-    return x.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return x.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

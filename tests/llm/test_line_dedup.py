@@ -81,3 +81,14 @@ def test_repeated_rows_and_null_ids(spark):
     got = sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_lines(df).collect())
     assert got == [("1", "same line here"), ("1", "same line here"), ("2", ""), ("None", "same line here")]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id(spark):
+    """Rows of one id with different texts are different documents: a line that one of them repeats stays in no other's place."""
+    rows = [
+        (0, "shared line number one"),
+        (1, "shared line number one\nkeep b here ok now"),
+        (1, "unique other line zz qq\nkeep c different text"),
+    ]
+    got = sorted(r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == ["keep b here ok now", "shared line number one", "unique other line zz qq\nkeep c different text"]
