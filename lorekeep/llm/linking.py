@@ -6,8 +6,8 @@ representatives are tested against the members whose component is another one, a
 everybody. Members that are linked stay for the others. The bucket is done when its members are of one component.
 
 - Round 0 takes one representative, the same for buckets of nearly the same members.
-- Round 1 takes eight, those with most links first, which finds the original of many copies.
-- Later rounds take 64, 512, 1024, ..., those with fewest links first: the odd ones out among many alike.
+- Round 1 takes 16, those with most links first, which finds the original of many copies.
+- Later rounds take 256, then 4096, those with fewest links first: the odd ones out among many alike.
 - A bucket with FEW members left tests all its pairs of different components.
 
 Members that are alike cost a few tests each. Only a bucket of unlike members costs all its pairs, less those that the
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut, small
 
 #: Buckets of so many members test all pairs after the first round; the most representatives of a bucket in a round.
-FEW, MOST = 8, 1024
+FEW, MOST = 16, 4096
 
 Close = Callable[[Column, Column], Column]
 
@@ -36,14 +36,15 @@ def links_in_buckets(
     rows: DataFrame,
     verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
     close: Close | None = None,
-    hints: DataFrame | None = None,
+    hinter: Callable[[DataFrame], DataFrame] | None = None,
     few: int = FEW,
 ) -> DataFrame:
     """Links (a, b), a < b, that connect what the verified pairs of all buckets connect.
 
-    rows: id long, bucket long, and hint if close is given without hints; a row for each place of a node in a bucket.
+    rows: id long, bucket long, and hint if close is given without hinter; a row for each place of a node in a bucket.
     verifier: the ids that may come up, once each -> a function from pairs (a, b), a < b, to those that are linked.
-    close: two hints -> false only if the pair would not be linked. hints: id, hint, where they belong to the node.
+    close: two hints -> false only if the pair would not be linked.
+    hinter: the ids of buckets that are open after the first round -> id, hint; of hints that belong to the node.
     """
     members = F.xxhash64(*[c for c in rows.columns if c != "bucket"])
     sizes = rows.groupBy("bucket").agg(
@@ -56,20 +57,18 @@ def links_in_buckets(
     # of buckets with the same members one is enough
     several = cut(sizes.where("n > 2").dropDuplicates(["n", "a", "b", "x"]).select("bucket"))
     pairs = [sizes.where("n = 2").select("a", "b")]
-    here = rows.join(small(several), "bucket")
-    if hints is not None:
-        here = here.join(hints, "id")
-    if "hint" not in here.columns:
-        here = here.withColumn("hint", F.lit(None).cast("int"))
-    here = cut(here.select("bucket", "id", "hint", F.col("id").alias("root"), F.lit(0).cast("long").alias("degree")))
+    if "hint" not in rows.columns:
+        rows = rows.withColumn("hint", F.lit(None).cast("int"))
+    rows = rows.select("bucket", "id", "hint", F.col("id").alias("root"), F.lit(0).cast("long").alias("degree"))
+    here = cut(rows.join(small(several), "bucket"))
     ends = pairs[0].select(F.explode(F.array("a", "b")).alias("id")).unionByName(here.select("id"))
     verify = verifier(cut(ends.distinct()))
     counted = None
 
-    found, level, wide = [], 0, 1
+    found, level, wide, hints = [], 0, 1, None
     while True:
         chosen = representatives(here, counted, level, wide, few)
-        pairs.append(open_pairs(here, chosen, close))
+        pairs.append(open_pairs(here, chosen, close, hints))
         new = cut(verify(cut(reduce(DataFrame.unionByName, pairs).distinct())))
         found.append(new)
         pairs = []
@@ -84,7 +83,9 @@ def links_in_buckets(
         if counted.isEmpty():
             return links.distinct()
         here = cut(rest.join(small(counted.select("bucket")), "bucket", "left_semi"))
-        level, wide = level + 1, min(8 * wide, MOST)
+        if hinter and not level:
+            hints = cut(hinter(cut(here.select("id").distinct())))
+        level, wide = level + 1, min(16 * wide, MOST)
 
 
 def representatives(here: DataFrame, counted: DataFrame | None, level: int, wide: int, few: int) -> DataFrame:
@@ -101,14 +102,16 @@ def representatives(here: DataFrame, counted: DataFrame | None, level: int, wide
     return cut(one.select("bucket", "r.id", "r.root", "r.hint").unionByName(every))
 
 
-def open_pairs(here: DataFrame, chosen: DataFrame, close: Close | None) -> DataFrame:
+def open_pairs(here: DataFrame, chosen: DataFrame, close: Close | None, hints: DataFrame | None) -> DataFrame:
     """a, b: members and representatives of one bucket that are not known to be of one component."""
-    x = here.select("bucket", F.struct("id", "root", "hint").alias("x"))
-    y = chosen.select("bucket", F.struct("id", "root", "hint").alias("y"))
     on = F.col("x.root") != F.col("y.root")
-    if close:
+    if hints is not None:
+        here, chosen = (x.drop("hint").join(hints, "id") for x in (here, chosen))
+    if close and (hints is not None or here.schema["hint"].dataType.typeName() == "struct"):
         on = on & close(F.col("x.hint"), F.col("y.hint"))
-    both = x.join(small(y), "bucket").where(on)
+    x = here.select("bucket", F.struct("id", "root", "hint").alias("x"))
+    y = chosen.select("bucket", F.struct("id", "root", "hint").alias("y"))
+    both = x.join(y, "bucket").where(on)
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 

@@ -2,8 +2,9 @@
 
 The k-mers of a document are its runs of five words, each labelled with its occurrence number (the third time a run
 comes up it is another k-mer). Under each of FUNCTIONS hash functions the smallest k-mer is sampled together with its
-place. Every two of the sampled k-mers, in the order in which they stand in the text, are a signature: equal signatures
-need equal k-mers in equal order, which makes them sensitive to edit similarity and not only to shared content. Sampled
+place. Two of the sampled k-mers (of functions that are APART in a ring, 48 times two) in the order in which they stand in
+the text are a signature: equal signatures need equal k-mers in equal order, which makes them sensitive to edit
+similarity and not only to shared content. Sampled
 k-mers that no other text samples are dropped after counting, before the signatures are made, so that texts without a
 relative make none. Texts with an equal signature are candidates (linking.py), and a pair is linked if its word edit
 distance is at most a fifth of the longer text's words: similarity 0.8.
@@ -31,10 +32,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut, small, text_of
 from .linking import components, links_in_buckets
 
-K, FUNCTIONS, SIMILARITY, BINS = 5, 24, 0.8, 128
+K, FUNCTIONS, SIMILARITY, BINS = 5, 24, 0.8, 512
+#: Which two functions make a signature: those so far apart in a ring.
+APART = (1, 5)
+#: Words of the texts that are handled at once.
+PART = 50_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch", i) for i in range(FUNCTIONS)], np.uint64)
-_words: dict[str, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,16 +49,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes; those of up to 200,000 words are kept in a worker."""
-    memo, out = _words, []
-    for w in words:
-        h = memo.get(w)
-        if h is None:
-            if len(memo) >= 200_000:
-                memo.clear()
-            h = memo[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def runs(h: np.ndarray, k: int = K) -> np.ndarray:
@@ -82,13 +77,22 @@ def labelled(g: np.ndarray) -> np.ndarray:
     return out
 
 
-def minima(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sampled k-mers of a text's word hashes, one for each function, and their places."""
-    g = labelled(runs(h))
-    if not len(g):
-        return g, np.zeros(0, np.int64)
-    places = np.array([int(mixed(g ^ seed).argmin()) for seed in _SEEDS])
-    return g[places], places
+def minima(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some texts, given by the hashes of their words (one at least), a row with its sampled k-mers, one for
+    each function, and one with their places. The k-mers of all texts lie in one array."""
+    grams = [labelled(runs(h)) for h in held]
+    g = np.concatenate(grams)
+    n = np.array([len(x) for x in grams])
+    starts = np.cumsum(n) - n
+    text = np.repeat(np.arange(len(n)), n)
+    keys, places = np.zeros((len(n), FUNCTIONS), np.uint64), np.zeros((len(n), FUNCTIONS), np.int32)
+    for f, seed in enumerate(_SEEDS):
+        x = mixed(g ^ seed)
+        low = np.minimum.reduceat(x, starts)
+        at = np.flatnonzero(x == low[text])[::-1]
+        keys[:, f] = low
+        places[text[at], f] = at - starts[text[at]]  # the first of equal ones is written last
+    return keys, places
 
 
 def bag(h: np.ndarray) -> np.ndarray:
@@ -169,25 +173,46 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
+class Words:
+    """The word hashes of a text, its different words with their counts, and its runs of four words that come up once,
+    sorted, with their places."""
+
+    RUN = 4
+
+    def __init__(self, h: np.ndarray):
+        self.h = h
+        self.words, self.counts = np.unique(h, return_counts=True)
+        keys, places, times = np.unique(runs(h, self.RUN), return_index=True, return_counts=True)
+        self.keys, self.places = keys[times == 1], places[times == 1]
+
+    def __len__(self):
+        return 4 * len(self.h)
+
+
+def meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the equal elements of two sorted arrays of different elements."""
+    if not len(a) or not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    same = np.flatnonzero(a[at] == b)
+    return at[same], same
+
+
 def shared_runs(a: np.ndarray, b: np.ndarray, k: int) -> int:
     """How many runs of k words two texts share, each as often as both have it."""
-    both = np.concatenate([runs(a, k), runs(b, k)])
-    n = len(a) - k + 1
-    _, place = np.unique(both, return_inverse=True)
-    most = int(place.max()) + 1
-    return int(np.minimum(np.bincount(place[:n], minlength=most), np.bincount(place[n:], minlength=most)).sum())
+    (x, nx), (y, ny) = (np.unique(runs(t, k), return_counts=True) for t in (a, b))
+    i, j = meeting(x, y)
+    return int(np.minimum(nx[i], ny[j]).sum())
 
 
-def at_most(a: np.ndarray, b: np.ndarray, k: int = 4) -> int:
-    """An upper bound of the edit distance: the cost of the alignment through the runs of k words that come up once in
+def at_most(a: Words, b: Words) -> int:
+    """An upper bound of the edit distance: the cost of the alignment through the runs of words that come up once in
     either text and are crossed by no other of them."""
-    n, m = len(a), len(b)
-    if min(n, m) < k:
+    n, m = len(a.h), len(b.h)
+    if min(n, m) < Words.RUN:
         return max(n, m)
-    ka, ia, ca = np.unique(runs(a, k), return_index=True, return_counts=True)
-    kb, ib, cb = np.unique(runs(b, k), return_index=True, return_counts=True)
-    _, x, y = np.intersect1d(ka[ca == 1], kb[cb == 1], assume_unique=True, return_indices=True)
-    i, j = ia[ca == 1][x], ib[cb == 1][y]
+    x, y = meeting(a.keys, b.keys)
+    i, j = a.places[x], b.places[y]
     order = np.argsort(i)
     i, j = i[order], j[order]
     straight = (np.maximum.accumulate(j) == j) & (np.minimum.accumulate(j[::-1])[::-1] == j)
@@ -198,20 +223,25 @@ def at_most(a: np.ndarray, b: np.ndarray, k: int = 4) -> int:
     wide = gi[even]
     inside = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
     at = np.repeat(i[:-1][even] + 1, wide) + inside
-    return cost + int((a[at] != b[at + np.repeat((j - i)[:-1][even], wide)]).sum())
+    return cost + int((a.h[at] != b.h[at + np.repeat((j - i)[:-1][even], wide)]).sum())
 
 
-def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether two texts, given by the hashes of their words, have this word edit similarity."""
-    longest = max(len(a), len(b))
+def linked(a: Words, b: Words, similarity: float = SIMILARITY) -> bool:
+    """Whether two texts have this word edit similarity."""
+    longest, least = max(len(a.h), len(b.h)), min(len(a.h), len(b.h))
     allowed = int((1 - similarity) * longest + 1e-9)
-    if longest - min(len(a), len(b)) > allowed:
+    if longest - least > allowed:
         return False
-    for k in (1, 2, 3, 4):  # an edit changes k runs at most
-        least = longest - k + 1 - k * allowed
-        if min(len(a), len(b)) >= k and least > 0 and shared_runs(a, b, k) < least:
+    i, j = meeting(a.words, b.words)
+    if int(np.minimum(a.counts[i], b.counts[j]).sum()) < longest - allowed:
+        return False
+    if at_most(a, b) <= allowed:
+        return True
+    for k in (2, 3, 4):  # an edit changes k runs at most
+        needed = longest - k + 1 - k * allowed
+        if least >= k and needed > 0 and shared_runs(a.h, b.h, k) < needed:
             return False
-    return at_most(a, b) <= allowed or edit_distance(a, b, allowed) is not None
+    return edit_distance(a.h, b.h, allowed) is not None
 
 
 class Recent:
@@ -234,17 +264,30 @@ class Recent:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, h1, h2 (hashes of the text), words, mins, places, bag for each row of docs with an id."""
 
+    def parts(texts):
+        held, size = [], 0
+        for t in texts:
+            held.append(word_hashes(t.as_py().split()))
+            size += len(held[-1])
+            if size >= PART:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
     def run(batches):
         for batch in batches:
-            made = []
-            for t in batch.column(3):
-                h = word_hashes(t.as_py().split())
-                mins, places = minima(h)
-                made.append((len(h), mins.view(np.int64), places, bag(h)))
-            kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()))
-            columns = [pa.array([x[i] for x in made], kind) for i, kind in enumerate(kinds)]
-            names = ["doc_id", "h1", "h2", "words", "mins", "places", "bag"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=names)
+            at = 0
+            for held in parts(batch.column(3)):
+                some = [h for h in held if len(h)]
+                words = np.array([len(h) for h in held])
+                ends = np.r_[0, np.cumsum(np.where(words, FUNCTIONS, 0))].astype(np.int32)
+                keys, places = minima(some) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys.reshape(-1).view(np.int64), places.reshape(-1))]
+                bags = pa.ListArray.from_arrays(np.arange(0, BINS * len(held) + 1, BINS, np.int32), pa.array(np.concatenate([bag(h) for h in held])))
+                columns = [*batch.slice(at, len(held)).columns[:3], pa.array(words, pa.int32()), *lists, bags]
+                at += len(held)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "words", "mins", "places", "bag"])
 
     t = text_of()
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(7), t).alias("h2"), t.alias("text"))
@@ -252,26 +295,28 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def order_buckets(nodes: DataFrame) -> DataFrame:
-    """id, bucket: for each text the signatures of every two of its sampled k-mers that others sample too.
+    """id, bucket: for each text the signatures of its sampled k-mers, two and two, that others sample too.
     nodes: id, mins, places."""
     sampled = nodes.select("id", F.posexplode(F.arrays_zip("mins", "places")).alias("f", "s"))
     sampled = sampled.select("id", "f", F.col("s.mins").alias("key"), F.col("s.places").alias("at"), F.xxhash64("f", "s.mins").alias("k"))
     several = cut(sampled.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
-    shared = sampled.join(small(several, 200_000), "k").groupBy("id").agg(F.collect_list(F.struct("f", "key", "at")).alias("s"))
+    shared = sampled.join(small(several, 200_000), "k")
+    shared = shared.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("f", F.struct("key", "at")))).alias("s"))
 
-    def signature(x: Column, y: Column) -> Column:
-        first, second = F.xxhash64(x["f"], x["key"], y["f"], y["key"]), F.xxhash64(y["f"], y["key"], x["f"], x["key"])
-        return F.when(x["at"] <= y["at"], first).otherwise(second)
+    def signature(f: int, g: int) -> Column:
+        x, y = F.col("s")[f], F.col("s")[g]
+        first, second = F.xxhash64(F.lit(f), x["key"], F.lit(g), y["key"]), F.xxhash64(F.lit(g), y["key"], F.lit(f), x["key"])
+        return F.when(x.isNotNull() & y.isNotNull(), F.when(x["at"] <= y["at"], first).otherwise(second))
 
-    pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y["f"] > x["f"]), lambda y: signature(x, y))))
-    return shared.where(F.size("s") > 1).select("id", F.explode(pairs).alias("bucket"))
+    made = F.array(*[signature(f, (f + d) % FUNCTIONS) for d in APART for f in range(FUNCTIONS)])
+    return shared.where(F.size("s") > 1).select("id", F.explode(made).alias("bucket")).where("bucket is not null")
 
 
 def verifier(docs: DataFrame):
     """For linking.py: pairs (a, b) of text hashes -> those that are linked, by alignment of their whole texts."""
 
     def run(batches):
-        recent = Recent(lambda text: word_hashes(text.split()))
+        recent = Recent(lambda text: Words(word_hashes(text.split())))
         for batch in batches:
             ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             texts = zip(batch.column(2), batch.column(3), strict=True)
@@ -319,7 +364,7 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy(F.col("h1").alias("id")).agg(*both, *[F.first(c).alias(c) for c in ("words", "mins", "places", "bag")])
     nodes = cut(nodes.where("lo = hi"))
     hints = nodes.select("id", F.struct("words", "bag").alias("hint"))
-    links = cut(links_in_buckets(order_buckets(nodes), verifier(docs), close=close, hints=hints))
+    links = cut(links_in_buckets(order_buckets(nodes), verifier(docs), close, lambda ids: ids.join(hints, "id")))
     return classes_of(rows, links)
 
 

@@ -14,7 +14,7 @@ BPE_RANKS: str | None = None
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every document by passages shared with others, and its verified links."""
+    """The class of every document by passages shared with others."""
     return substring.classes(table(spark, sf_dir, "documents"))
 
 

@@ -52,7 +52,7 @@ def test_one_document_of_each_class_stays(steps):
     assert kept <= texts.keys()
     # every document that went is like one before it, which itself may have gone for another
     for gone in texts.keys() - kept:
-        assert any(near_dup.linked(*(near_dup.word_hashes(t.split()) for t in (texts[gone], texts[i]))) for i in texts if i != gone)
+        assert any(near_dup.linked(*(near_dup.Words(near_dup.word_hashes(t.split())) for t in (texts[gone], texts[i]))) for i in texts if i != gone)
     assert not [(a, b) for a in ids for b in ids if a < b and texts[a] == texts[b]]
 
 
