@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most so many rows.
 BROADCAST_ROWS = 20_000
@@ -37,7 +38,30 @@ def scratch(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a checkpoint in the shared folder: computed once, and safe from lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    out._counted = seen.get["n"]
+    return out
+
+
+def counted(df: DataFrame) -> int:
+    """The rows of a frame that cut() gave."""
+    return df._counted
+
+
+def few_parts(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A frame of narrow rows that cut() gave, in no more partitions than so many rows each take: what follows on a small
+    frame then has few tasks and files."""
+    out = df.coalesce(1 + counted(df) // rows)
+    out._counted = counted(df)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints of frames no longer in use. Spark removes them when the driver happens to
+    collect its garbage, which loops of many small jobs do not wait for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -49,7 +73,10 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (already cut), with a broadcast hint if it was counted to be small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n = getattr(df, "_counted", None)
+    if n is None:
+        n = df.limit(rows + 1).count()
+    return F.broadcast(df) if n <= rows else df
 
 
 def text_of(name: str = "text") -> Column:

@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash. DataFrame functions only.
 
-Lines are told apart by a 64-bit hash (checked by a second one). The shingles of a line are its runs of eight UTF-16
-units (a shorter line is one shingle). MINS minimum hashes over the shingles make the signature; bands of three
+Lines are told apart by a 64-bit hash (checked by a second one). The shingles of a line are its runs of eight
+characters (a shorter line is one shingle). MINS minimum hashes over the shingles (of UTF-16 units) make the signature; bands of three
 of them (each is in three bands) give the buckets: two lines at a similarity of 0.8 share one with a probability of
 0.986. Pairs of lines in a bucket
 (linking.py) are verified by the exact Jaccard similarity of their shingle sets, all of them but those that other links
@@ -28,8 +28,6 @@ from .linking import components, links_in_buckets
 SHINGLE, CHUNK, MINS, SIMILARITY = 8, 16, 10, 0.8
 #: Which minima make a band: those so far on in a ring.
 BAND = (0, 1, 3)
-#: A similarity from 32-bit hashes is off by less, but for one pair in a million (the shingles of short lines collide).
-BORDER = 0.01
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -46,7 +44,7 @@ def constant(j: int) -> int:
     return (x >> 32) - 2**31
 
 
-def chunks(lines: DataFrame, hashed) -> DataFrame:
+def chunks(lines: DataFrame) -> DataFrame:
     """h1, h2, first (whether it is the line's first) and x0, x1, ... for each chunk of CHUNK shingles of each line: the
     hashes of its shingles. Places beyond the last shingle repeat the last one."""
     units = F.encode("line", "UTF-16BE")
@@ -55,7 +53,7 @@ def chunks(lines: DataFrame, hashed) -> DataFrame:
     x = x.select("h1", "h2", "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))).alias("c"))
     chunk = F.expr(f"substring(b, 2 * c + 1, {2 * (CHUNK + SHINGLE - 1)})")
     x = x.select("h1", "h2", "c", F.least(F.lit(CHUNK), F.col("n") - F.col("c")).alias("here"), chunk.alias("k"))
-    made = [hashed(F.expr(f"substring(k, 2 * least({i}, here - 1) + 1, {2 * SHINGLE})")).alias(f"x{i}") for i in range(CHUNK)]
+    made = [F.hash(F.expr(f"substring(k, 2 * least({i}, here - 1) + 1, {2 * SHINGLE})")).alias(f"x{i}") for i in range(CHUNK)]
     return x.select("h1", "h2", (F.col("c") == 0).alias("first"), *made)
 
 
@@ -67,69 +65,45 @@ def signed_lines(lines: DataFrame) -> DataFrame:
 
     times = F.sum(F.col("first").cast("long")).alias("times")
     second = [F.min("h2").alias("_lo"), F.max("h2").alias("_hi")]
-    x = chunks(lines, F.hash).groupBy("h1").agg(times, *second, *[low(j) for j in range(MINS)])
+    x = chunks(lines).groupBy("h1").agg(times, *second, *[low(j) for j in range(MINS)])
     return x.where("_lo = _hi").drop("_lo", "_hi")
 
 
-def shingle_sets(lines: DataFrame) -> DataFrame:
-    """h1, s: the 32-bit hashes of the different shingles of each line, h1 and line."""
-    x = chunks(lines.select("h1", F.lit(0).alias("h2"), "line"), F.hash)
-    some = F.collect_list(F.array(*[f"x{i}" for i in range(CHUNK)]))
-    return x.groupBy("h1").agg(F.array_distinct(F.flatten(some)).alias("s"))
+def shingles(line: Column) -> Column:
+    """The different shingles of a line."""
+    # a look-ahead, so that they overlap; none begins within a surrogate pair
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{SHINGLE - 1}}}))"), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(found))
 
 
-def exact_shingles(line: Column) -> Column:
-    """The different shingles."""
-
-    def of(units: Column) -> Column:
-        n = F.greatest(F.lit(1), (F.length(units) / 2 - (SHINGLE - 1)).cast("int"))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(units, 2 * i + 1, F.lit(2 * SHINGLE))))
-
-    # through an array of one, so that the line is encoded once and not once a shingle
-    return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), of), 1)
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets."""
-    made = F.struct(a.alias("a"), b.alias("b"), F.size(F.array_intersect(a, b)).alias("both"))
-    # through an array of one, so that the sets are made once
-    return F.element_at(F.transform(F.array(made), lambda t: t["both"] / (F.size(t["a"]) + F.size(t["b"]) - t["both"])), 1)
-
-
-class Shingles:
-    """For linking.py: the candidate lines with their shingles, what tells pairs apart early, and the verification."""
+class Lines:
+    """For linking.py: the candidate lines, what tells pairs of them apart early, and the verification."""
 
     def __init__(self, lines: DataFrame):
         self.lines = lines.select("h1", "line")
-        self.texts = self.sets = None
+        self.texts = None
 
     def verifier(self, ids: DataFrame):
-        """Pairs (a, b) of line hashes -> those with an exact Jaccard similarity of SIMILARITY or more. Sets of 32-bit
-        hashes settle all pairs but those within BORDER of it; their shingles themselves are compared."""
+        """Pairs (a, b) of line hashes -> those with an exact Jaccard similarity of SIMILARITY or more."""
         wanted = small(ids.select(F.col("id").alias("h1")), 200_000)
         self.texts = cut(self.lines.join(wanted, "h1", "left_semi").dropDuplicates(["h1"]))
-        self.sets = cut(shingle_sets(self.texts))
+        one, two = (self.texts.select(F.col("h1").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
 
         def verify(pairs: DataFrame) -> DataFrame:
-            j = jaccard(F.col("sa"), F.col("sb")).alias("j")
-            graded = cut(self._both(pairs, self.sets, "s").select("a", "b", j).where(F.col("j") >= SIMILARITY - BORDER))
-            near = graded.where(F.col("j") < SIMILARITY + BORDER).select("a", "b")
-            exact = jaccard(exact_shingles(F.col("linea")), exact_shingles(F.col("lineb"))).alias("j")
-            near = self._both(near, self.texts, "line").select("a", "b", exact).where(F.col("j") >= SIMILARITY)
-            return graded.where(F.col("j") >= SIMILARITY + BORDER).unionByName(near).select("a", "b")
+            x = pairs.join(one, "a").join(two, "b")
+            x = x.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
+            x = x.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+            return x.where(F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
         return verify
 
-    @staticmethod
-    def _both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
-        one, two = (of.select(F.col("h1").alias(x), F.col(name).alias(name + x)) for x in "ab")
-        return pairs.join(one, "a").join(two, "b")
-
     def hinter(self, ids: DataFrame) -> DataFrame:
         """id, hint: the number of a line's shingles, and of those that no other of these lines has."""
-        mine = self.sets.join(ids.select(F.col("id").alias("h1")), "h1")
-        alone = mine.select(F.explode("s").alias("x"), "h1").groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("h1"))
-        alone = alone.where("n = 1").groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+        mine = self.texts.join(small(ids.select(F.col("id").alias("h1"))), "h1")
+        mine = mine.select("h1", shingles(F.col("line")).alias("s"))
+        alone = mine.select("h1", F.explode("s").alias("x")).groupBy(F.xxhash64("x").alias("x"))
+        alone = alone.agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("h1")).where("n = 1")
+        alone = alone.groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("alone"))
         hint = F.struct(F.size("s").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone")).alias("hint")
         return mine.join(alone, "h1", "left").select(F.col("h1").alias("id"), hint)
 
@@ -137,7 +111,7 @@ class Shingles:
 def close(x: Column, y: Column) -> Column:
     """False for two hints whose lines share too few shingles, at best."""
     both = F.least(x["n"] - x["alone"], y["n"] - y["alone"])
-    return both >= (SIMILARITY - BORDER) * (x["n"] + y["n"] - both)
+    return both >= SIMILARITY * (x["n"] + y["n"] - both)
 
 
 def decisions(docs: DataFrame) -> DataFrame:
@@ -146,8 +120,8 @@ def decisions(docs: DataFrame) -> DataFrame:
     signed = signed_lines(lines).persist()
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{(b + d) % MINS}") for d in BAND]) for b in range(MINS)]
     rows = signed.select(F.col("h1").alias("id"), F.explode(F.array(*bands)).alias("bucket"))
-    shingles = Shingles(lines)
-    links = cut(links_in_buckets(rows, shingles.verifier, close, shingles.hinter))
+    candidates = Lines(lines)
+    links = cut(links_in_buckets(rows, candidates.verifier, close, candidates.hinter))
     roots = components(links)
     known = signed.select("h1", "times").join(roots.withColumnRenamed("id", "h1"), "h1", "left")
     known = cut(known.where("times > 1 or root is not null").select("h1", F.coalesce("root", "h1").alias("root")))

@@ -22,9 +22,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from .common import cut, small
+from .common import counted, cut, few_parts, release, small
 
 #: Buckets of so many members test all pairs after the first round; the most representatives of a bucket in a round.
 FEW, MOST = 16, 4096
@@ -46,6 +46,7 @@ def links_in_buckets(
     close: two hints -> false only if the pair would not be linked.
     hinter: the ids of buckets that are open after the first round -> id, hint; of hints that belong to the node.
     """
+    spark = rows.sparkSession
     members = F.xxhash64(*[c for c in rows.columns if c != "bucket"])
     sizes = rows.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"),
@@ -55,51 +56,54 @@ def links_in_buckets(
     )
     sizes = cut(sizes.where("a < b"))
     # of buckets with the same members one is enough
-    several = cut(sizes.where("n > 2").dropDuplicates(["n", "a", "b", "x"]).select("bucket"))
+    several = cut(sizes.where("n > 2").groupBy("n", "a", "b", "x").agg(F.min("bucket").alias("bucket")).select("bucket"))
     pairs = [sizes.where("n = 2").select("a", "b")]
     if "hint" not in rows.columns:
         rows = rows.withColumn("hint", F.lit(None).cast("int"))
     rows = rows.select("bucket", "id", "hint", F.col("id").alias("root"), F.lit(0).cast("long").alias("degree"))
-    here = cut(rows.join(small(several), "bucket"))
-    ends = pairs[0].select(F.explode(F.array("a", "b")).alias("id")).unionByName(here.select("id"))
-    verify = verifier(cut(ends.distinct()))
-    counted = None
+    here = few_parts(cut(rows.join(small(several, 200_000), "bucket")))
+    ends = pairs[0].select("a").unionByName(pairs[0].select(F.col("b").alias("a"))).select(F.col("a").alias("id"))
+    verify = verifier(cut(ends.unionByName(here.select("id")).distinct()))
+    tasks = 2 * spark.sparkContext.defaultParallelism
 
-    found, level, wide, hints = [], 0, 1, None
+    found, level, wide, hints, left = [], 0, 1, None, None
     while True:
-        chosen = representatives(here, counted, level, wide, few)
+        release(spark)
+        chosen = representatives(here, left, level, wide, few)
         pairs.append(open_pairs(here, chosen, close, hints))
-        new = cut(verify(cut(reduce(DataFrame.unionByName, pairs).distinct())))
+        new = few_parts(cut(reduce(DataFrame.unionByName, pairs).distinct()))
+        # the next joins spread the pairs anew, unless they are broadcast
+        new = few_parts(cut(verify(new.repartition(max(tasks, 1 + counted(new) // 10_000)))))
         found.append(new)
         pairs = []
         links = reduce(DataFrame.unionByName, found)
-        rest = here.select("bucket", "id", "hint").join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        rest = rest.join(cut(known_of(links)), "id", "left")
+        known = few_parts(cut(known_of(links)))
+        rest = here.select("bucket", "id", "hint").join(small(chosen).select("bucket", "id"), ["bucket", "id"], "left_anti")
+        rest = rest.join(small(known, 200_000), "id", "left")
         rest = rest.withColumns({"root": F.coalesce("root", "id"), "degree": F.coalesce("degree", F.lit(0))})
         # a representative has met all others, those that left with it too
-        rest = cut(rest.select("bucket", "id", "hint", "root", "degree"))
+        rest = few_parts(cut(rest.select("bucket", "id", "hint", "root", "degree")))
         of_bucket = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        counted = cut(of_bucket.where("lo < hi").select("bucket", "left"))
-        if counted.isEmpty():
+        left = few_parts(cut(of_bucket.where("lo < hi").select("bucket", "left")))
+        if not counted(left):
             return links.distinct()
-        here = cut(rest.join(small(counted.select("bucket")), "bucket", "left_semi"))
+        here = few_parts(cut(rest.join(small(left, 200_000), "bucket").drop("left")))
         if hinter and not level:
             hints = cut(hinter(cut(here.select("id").distinct())))
         level, wide = level + 1, min(16 * wide, MOST)
 
 
-def representatives(here: DataFrame, counted: DataFrame | None, level: int, wide: int, few: int) -> DataFrame:
+def representatives(here: DataFrame, left: DataFrame | None, level: int, wide: int, few: int) -> DataFrame:
     """bucket, id, root, hint of this round's; one for each of `wide` parts of a bucket, all where few are left."""
     order = F.xxhash64("id", F.lit(level))
     part = F.pmod(F.xxhash64("id", F.lit(level), F.lit("part")), F.lit(wide))
     degree = -F.col("degree") if level < 2 else F.col("degree")
     first = F.min(F.struct(degree.alias("d"), order.alias("o"), "id", "root", "hint")).alias("r")
-    if level == 0:
-        return cut(here.groupBy("bucket").agg(first).select("bucket", "r.id", "r.root", "r.hint"))
-    sized = here.join(small(counted), "bucket")
-    one = sized.where(F.col("left") > few).groupBy("bucket", part.alias("part")).agg(first)
-    every = sized.where(F.col("left") <= few).select("bucket", "id", "root", "hint")
-    return cut(one.select("bucket", "r.id", "r.root", "r.hint").unionByName(every))
+    if left is not None:
+        here = here.join(small(left, 200_000), "bucket")
+        part = F.when(F.col("left") > few, part).otherwise(F.col("id"))  # each for itself where few are left
+    out = here.groupBy("bucket", part.alias("part")).agg(first).select("bucket", "r.id", "r.root", "r.hint")
+    return few_parts(cut(out))
 
 
 def open_pairs(here: DataFrame, chosen: DataFrame, close: Close | None, hints: DataFrame | None) -> DataFrame:
@@ -123,26 +127,23 @@ def known_of(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every node of the links (a, b): root is the smallest id of its component."""
-    wide, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    edges = cut(links.where("a <> b").select(wide, low).distinct())
-    now = _state(edges)
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now = None
     while True:
         # large star: the larger neighbours of a node go to the smallest of its neighbours and itself
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(parts, "u")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.repartition(parts, "u").distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        before, now = now, _state(edges)
-        if now == before:
+        rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(1).alias("more"))
+        both = low.select("u", F.col("m").alias("v"), F.lit(0).alias("more")).unionByName(rest)
+        seen, of = Observation(), F.when(F.col("more") == 0, F.xxhash64("u", "v"))
+        state = [F.sum("more").alias("m"), F.count(of).alias("n"), F.bit_xor(of).alias("x"), F.sum(F.shiftright(of, 24)).alias("s")]
+        edges = few_parts(cut(both.observe(seen, *state))).select("u", "v")
+        before, now = now, seen.get
+        if now == before and not now["m"]:  # every node has one edge, the same as before
             break
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
-    return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-
-
-def _state(edges: DataFrame) -> tuple:
-    """Tells two sets of edges apart."""
-    of = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(of), F.sum(F.shiftright(of, 24))).first())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

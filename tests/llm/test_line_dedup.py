@@ -8,9 +8,7 @@ from .test_near_dup import roots
 
 
 def shingles(line):
-    u = line.encode("utf-16-be")
-    n = max(1, len(u) // 2 - 7)
-    return {u[2 * i : 2 * i + 16] for i in range(n)}
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
 
 
 def brute(rows):
