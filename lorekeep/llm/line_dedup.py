@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash. DataFrame functions only.
 
-Lines are told apart by a 64-bit hash (checked by a second one). The shingles of a line are its runs of eight
-characters (a shorter line is one shingle). MINS minimum hashes over the shingles (of UTF-16 units) make the signature; bands of three
+Lines are told apart by a 64-bit hash (checked by a second one). The shingles of a line are its runs of eight UTF-16
+units (a shorter line is one shingle). MINS minimum hashes over the shingles make the signature; bands of three
 of them (each is in three bands) give the buckets: two lines at a similarity of 0.8 share one with a probability of
 0.986. Pairs of lines in a bucket
 (linking.py) are verified by the exact Jaccard similarity of their shingle sets, all of them but those that other links
@@ -22,12 +22,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, small, text_of
+from .common import counted, cut, release, small, text_of
 from .linking import components, links_in_buckets
 
 SHINGLE, CHUNK, MINS, SIMILARITY = 8, 16, 10, 0.8
 #: Which minima make a band: those so far on in a ring.
 BAND = (0, 1, 3)
+#: Documents with lines to go that are broadcast at most, with ten lines each on average.
+FLAGS = 200_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -70,10 +72,15 @@ def signed_lines(lines: DataFrame) -> DataFrame:
 
 
 def shingles(line: Column) -> Column:
-    """The different shingles of a line."""
-    # a look-ahead, so that they overlap; none begins within a surrogate pair
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{SHINGLE - 1}}}))"), F.lit(1))
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(found))
+    """64-bit hashes of the different shingles of a line."""
+
+    def of(units: Column) -> Column:
+        n = F.greatest(F.lit(1), (F.length(units) / 2 - (SHINGLE - 1)).cast("int"))
+        at = F.sequence(F.lit(0), n - 1)
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substr(units, 2 * i + 1, F.lit(2 * SHINGLE)))))
+
+    # through an array of one, so that the line is encoded once and not once a shingle
+    return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), of), 1)
 
 
 class Lines:
@@ -101,7 +108,7 @@ class Lines:
         """id, hint: the number of a line's shingles, and of those that no other of these lines has."""
         mine = self.texts.join(small(ids.select(F.col("id").alias("h1"))), "h1")
         mine = mine.select("h1", shingles(F.col("line")).alias("s"))
-        alone = mine.select("h1", F.explode("s").alias("x")).groupBy(F.xxhash64("x").alias("x"))
+        alone = mine.select("h1", F.explode("s").alias("x")).groupBy("x")
         alone = alone.agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("h1")).where("n = 1")
         alone = alone.groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("alone"))
         hint = F.struct(F.size("s").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone")).alias("hint")
@@ -133,8 +140,11 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines that go taken out of text, and columns n_lines and n_dropped."""
-    flags = cut(decisions(docs).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("_gone")))
-    flags = flags.select(F.col("doc.id").alias("_id"), F.col("doc.mark").alias("_mark"), "_gone")
+    flags = decisions(docs).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
+    flags = cut(flags.select(F.col("doc.id").alias("_id"), F.col("doc.mark").alias("_mark"), "_gone"))
+    release(docs.sparkSession)
+    if counted(flags) <= FLAGS and (flags.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= 10 * FLAGS:
+        flags = F.broadcast(flags)
     same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(text_of()) == F.col("_mark"))
     x = docs.join(flags, same, "left").drop("_id", "_mark")
     all_lines = F.split(F.col("text"), "\n", -1)

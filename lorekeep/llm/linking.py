@@ -28,6 +28,8 @@ from .common import counted, cut, few_parts, release, small
 
 #: Buckets of so many members test all pairs after the first round; the most representatives of a bucket in a round.
 FEW, MOST = 16, 4096
+#: So many 64-bit keys are broadcast at most, 12 MB.
+KEYS = 500_000
 
 Close = Callable[[Column, Column], Column]
 
@@ -47,21 +49,24 @@ def links_in_buckets(
     hinter: the ids of buckets that are open after the first round -> id, hint; of hints that belong to the node.
     """
     spark = rows.sparkSession
+    # counted first without more of a member than its bucket, as most have one alone
+    shared = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
+    shared = few_parts(cut(rows.join(small(shared, KEYS), "bucket")))
     members = F.xxhash64(*[c for c in rows.columns if c != "bucket"])
-    sizes = rows.groupBy("bucket").agg(
+    sizes = shared.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("id").alias("a"),
         F.max("id").alias("b"),
         F.bit_xor(members).alias("x"),
     )
-    sizes = cut(sizes.where("a < b"))
+    sizes = few_parts(cut(sizes.where("a < b")))
     # of buckets with the same members one is enough
-    several = cut(sizes.where("n > 2").groupBy("n", "a", "b", "x").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    several = few_parts(cut(sizes.where("n > 2").groupBy("n", "a", "b", "x").agg(F.min("bucket").alias("bucket")).select("bucket")))
     pairs = [sizes.where("n = 2").select("a", "b")]
     if "hint" not in rows.columns:
-        rows = rows.withColumn("hint", F.lit(None).cast("int"))
-    rows = rows.select("bucket", "id", "hint", F.col("id").alias("root"), F.lit(0).cast("long").alias("degree"))
-    here = few_parts(cut(rows.join(small(several, 200_000), "bucket")))
+        shared = shared.withColumn("hint", F.lit(None).cast("int"))
+    shared = shared.select("bucket", "id", "hint", F.col("id").alias("root"), F.lit(0).cast("long").alias("degree"))
+    here = few_parts(cut(shared.join(small(several, KEYS), "bucket")))
     ends = pairs[0].select("a").unionByName(pairs[0].select(F.col("b").alias("a"))).select(F.col("a").alias("id"))
     verify = verifier(cut(ends.unionByName(here.select("id")).distinct()))
     tasks = 2 * spark.sparkContext.defaultParallelism
@@ -79,7 +84,7 @@ def links_in_buckets(
         links = reduce(DataFrame.unionByName, found)
         known = few_parts(cut(known_of(links)))
         rest = here.select("bucket", "id", "hint").join(small(chosen).select("bucket", "id"), ["bucket", "id"], "left_anti")
-        rest = rest.join(small(known, 200_000), "id", "left")
+        rest = rest.join(small(known, KEYS), "id", "left")
         rest = rest.withColumns({"root": F.coalesce("root", "id"), "degree": F.coalesce("degree", F.lit(0))})
         # a representative has met all others, those that left with it too
         rest = few_parts(cut(rest.select("bucket", "id", "hint", "root", "degree")))
@@ -87,7 +92,7 @@ def links_in_buckets(
         left = few_parts(cut(of_bucket.where("lo < hi").select("bucket", "left")))
         if not counted(left):
             return links.distinct()
-        here = few_parts(cut(rest.join(small(left, 200_000), "bucket").drop("left")))
+        here = few_parts(cut(rest.join(small(left, KEYS), "bucket").drop("left")))
         if hinter and not level:
             hints = cut(hinter(cut(here.select("id").distinct())))
         level, wide = level + 1, min(16 * wide, MOST)
@@ -100,7 +105,7 @@ def representatives(here: DataFrame, left: DataFrame | None, level: int, wide: i
     degree = -F.col("degree") if level < 2 else F.col("degree")
     first = F.min(F.struct(degree.alias("d"), order.alias("o"), "id", "root", "hint")).alias("r")
     if left is not None:
-        here = here.join(small(left, 200_000), "bucket")
+        here = here.join(small(left, KEYS), "bucket")
         part = F.when(F.col("left") > few, part).otherwise(F.col("id"))  # each for itself where few are left
     out = here.groupBy("bucket", part.alias("part")).agg(first).select("bucket", "r.id", "r.root", "r.hint")
     return few_parts(cut(out))
