@@ -104,21 +104,41 @@ class Lines:
 
         return verify
 
-    def hinter(self, ids: DataFrame) -> DataFrame:
-        """id, hint: the number of a line's shingles, and of those that no other of these lines has."""
-        mine = self.texts.join(small(ids.select(F.col("id").alias("h1"))), "h1")
-        mine = mine.select("h1", shingles(F.col("line")).alias("s"))
-        alone = mine.select("h1", F.explode("s").alias("x")).groupBy("x")
-        alone = alone.agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("h1")).where("n = 1")
-        alone = alone.groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("alone"))
-        hint = F.struct(F.size("s").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone")).alias("hint")
-        return mine.join(alone, "h1", "left").select(F.col("h1").alias("id"), hint)
+    def hinter(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """id, hint: the number of a line's shingles, and of the common ones, which more than three of these lines have;
+        and the pairs of lines that share enough of the others to be similar if they share all common ones."""
+        mine = self.texts.join(small(ids.select(F.col("id").alias("h1")), 200_000), "h1")
+        mine = cut(mine.select("h1", shingles(F.col("line")).alias("s")))
+        of = mine.select("h1", F.explode("s").alias("x")).groupBy("x").agg(
+            F.count(F.lit(1)).alias("n"), F.min("h1").alias("a"), F.max("h1").alias("b"), F.bit_xor("h1").alias("c")
+        )
+        # of three, what is left besides the least and the greatest is their sum of bits
+        of = of.where("n <= 3").select("n", "a", "b", F.when(F.col("n") == 3, F.expr("a ^ b ^ c")).alias("c"))
+        who = F.when(F.col("n") == 1, F.array("a")).when(F.col("n") == 2, F.array("a", "b")).otherwise(F.array("a", "c", "b"))
+        of = cut(of.select("n", who.alias("who")))
+        rare = of.select(F.explode("who").alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("rare"))
+        sized = mine.join(rare, "h1", "left").select(F.col("h1").alias("id"), F.size("s").alias("n"), F.coalesce("rare", F.lit(0)).alias("rare"))
+        sized = cut(sized.select("id", F.struct("n", (F.col("n") - F.col("rare")).alias("common")).alias("hint")))
+        w = F.col("who")
+        both = F.when(F.col("n") == 2, F.array(F.struct(w[0].alias("a"), w[1].alias("b"))))
+        both = both.otherwise(F.array(*[F.struct(w[i].alias("a"), w[j].alias("b")) for i, j in ((0, 1), (0, 2), (1, 2))]))
+        pairs = of.where("n > 1").select(F.explode(both).alias("p")).select("p.a", "p.b")
+        # ids are signed, and least and greatest may stand either way round the third
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        ends = [sized.select(F.col("id").alias(x), F.col("hint").alias(f"h{x}")) for x in "ab"]
+        pairs = pairs.join(ends[0], "a").join(ends[1], "b").where(similar_at_best(F.col("ha"), F.col("hb"), F.col("shared")))
+        return sized, cut(pairs.select("a", "b"))
+
+
+def similar_at_best(x: Column, y: Column, shared: Column) -> Column:
+    """Whether two lines could be similar that share so many uncommon shingles."""
+    both = F.least(x["common"], y["common"]) + shared
+    return both >= SIMILARITY * (x["n"] + y["n"] - both)
 
 
 def close(x: Column, y: Column) -> Column:
-    """False for two hints whose lines share too few shingles, at best."""
-    both = F.least(x["n"] - x["alone"], y["n"] - y["alone"])
-    return both >= SIMILARITY * (x["n"] + y["n"] - both)
+    """Of two lines that share no uncommon shingle."""
+    return similar_at_best(x, y, F.lit(0))
 
 
 def decisions(docs: DataFrame) -> DataFrame:

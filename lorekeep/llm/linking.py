@@ -6,9 +6,8 @@ representatives are tested against the members whose component is another one, a
 everybody. Members that are linked stay for the others. The bucket is done when its members are of one component.
 
 - Round 0 takes one representative, the same for buckets of nearly the same members.
-- Round 1 takes 16, those with most links first, which finds the original of many copies.
-- Later rounds take 256, then 4096, those with fewest links first: the odd ones out among many alike.
-- A bucket with FEW members left tests all its pairs of different components.
+- Later rounds take 16, 256, 4096, those with most links first, which finds the original of many copies.
+- A bucket with few members outside its largest component takes these, and is done.
 
 Members that are alike cost a few tests each. Only a bucket of unlike members costs all its pairs, less those that the
 operator's bound `close` tells apart without a look at their texts. A round's pairs are rows that are spread over all
@@ -26,8 +25,8 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .common import counted, cut, few_parts, release, small
 
-#: Buckets of so many members test all pairs after the first round; the most representatives of a bucket in a round.
-FEW, MOST = 16, 4096
+#: So many members outside the largest component are few; the most representatives of a bucket in a round.
+FEW, MOST = 64, 4096
 #: So many 64-bit keys are broadcast at most, 12 MB.
 KEYS = 500_000
 
@@ -38,7 +37,7 @@ def links_in_buckets(
     rows: DataFrame,
     verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
     close: Close | None = None,
-    hinter: Callable[[DataFrame], DataFrame] | None = None,
+    hinter: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None,
     few: int = FEW,
 ) -> DataFrame:
     """Links (a, b), a < b, that connect what the verified pairs of all buckets connect.
@@ -46,7 +45,8 @@ def links_in_buckets(
     rows: id long, bucket long, and hint if close is given without hinter; a row for each place of a node in a bucket.
     verifier: the ids that may come up, once each -> a function from pairs (a, b), a < b, to those that are linked.
     close: two hints -> false only if the pair would not be linked.
-    hinter: the ids of buckets that are open after the first round -> id, hint; of hints that belong to the node.
+    hinter: the ids of buckets that are open after the first round -> id, hint, where hints belong to the node; and pairs
+    (a, b) of them to be tested whatever close says, if any.
     """
     spark = rows.sparkSession
     # counted first without more of a member than its bucket, as most have one alone
@@ -88,25 +88,37 @@ def links_in_buckets(
         rest = rest.withColumns({"root": F.coalesce("root", "id"), "degree": F.coalesce("degree", F.lit(0))})
         # a representative has met all others, those that left with it too
         rest = few_parts(cut(rest.select("bucket", "id", "hint", "root", "degree")))
-        of_bucket = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        left = few_parts(cut(of_bucket.where("lo < hi").select("bucket", "left")))
+        of_root = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        of_bucket = of_root.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("roots"),
+            F.max(F.struct("n", "root")).alias("main"),
+            F.sum("n").alias("left"),
+        )
+        others = (F.col("left") - F.col("main.n")).alias("others")
+        left = few_parts(cut(of_bucket.where("roots > 1").select("bucket", F.col("main.root").alias("main"), others)))
         if not counted(left):
             return links.distinct()
-        here = few_parts(cut(rest.join(small(left, KEYS), "bucket").drop("left")))
+        here = few_parts(cut(rest.join(small(left, KEYS), "bucket").drop("main", "others")))
         if hinter and not level:
-            hints = cut(hinter(cut(here.select("id").distinct())))
+            hints, more = hinter(cut(here.select("id").distinct()))
+            hints = cut(hints)
+            if more is not None:
+                ends = [small(known, KEYS).select(F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+                more = more.join(ends[0], "a", "left").join(ends[1], "b", "left")
+                pairs.append(more.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
         level, wide = level + 1, min(16 * wide, MOST)
 
 
 def representatives(here: DataFrame, left: DataFrame | None, level: int, wide: int, few: int) -> DataFrame:
-    """bucket, id, root, hint of this round's; one for each of `wide` parts of a bucket, all where few are left."""
+    """bucket, id, root, hint of this round's: one for each of `wide` parts of a bucket, or where few members are
+    outside its largest component all of these."""
     order = F.xxhash64("id", F.lit(level))
     part = F.pmod(F.xxhash64("id", F.lit(level), F.lit("part")), F.lit(wide))
-    degree = -F.col("degree") if level < 2 else F.col("degree")
-    first = F.min(F.struct(degree.alias("d"), order.alias("o"), "id", "root", "hint")).alias("r")
+    first = F.min(F.struct((-F.col("degree")).alias("d"), order.alias("o"), "id", "root", "hint")).alias("r")
     if left is not None:
-        here = here.join(small(left, KEYS), "bucket")
-        part = F.when(F.col("left") > few, part).otherwise(F.col("id"))  # each for itself where few are left
+        ends = F.col("others") <= max(few, wide)
+        here = here.join(small(left, KEYS), "bucket").where(~ends | (F.col("root") != F.col("main")))
+        part = F.when(ends, F.col("id")).otherwise(part)
     out = here.groupBy("bucket", part.alias("part")).agg(first).select("bucket", "r.id", "r.root", "r.hint")
     return few_parts(cut(out))
 

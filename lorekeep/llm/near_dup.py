@@ -364,7 +364,7 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy(F.col("h1").alias("id")).agg(*both, *[F.first(c).alias(c) for c in ("words", "mins", "places", "bag")])
     nodes = cut(nodes.where("lo = hi"))
     hints = nodes.select("id", F.struct("words", "bag").alias("hint"))
-    links = cut(links_in_buckets(order_buckets(nodes), verifier(docs), close, lambda ids: ids.join(hints, "id")))
+    links = cut(links_in_buckets(order_buckets(nodes), verifier(docs), close, lambda ids: (ids.join(hints, "id"), None)))
     return classes_of(rows, links)
 
 
