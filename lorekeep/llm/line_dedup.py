@@ -136,9 +136,9 @@ def similar_at_best(x: Column, y: Column, shared: Column) -> Column:
     return both >= SIMILARITY * (x["n"] + y["n"] - both)
 
 
-def close(x: Column, y: Column) -> Column:
+def close(x: Column, y: Column, once: Column) -> Column:
     """Of two lines that share no uncommon shingle."""
-    return similar_at_best(x, y, F.lit(0))
+    return similar_at_best(x, y, F.lit(0)) & once
 
 
 def decisions(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from .common import counted, cut, few_parts, release, small
 
@@ -30,7 +30,8 @@ FEW, MOST = 64, 4096
 #: So many 64-bit keys are broadcast at most, 12 MB.
 KEYS = 500_000
 
-Close = Callable[[Column, Column], Column]
+#: Two hints, and whether no other bucket tests the pair -> whether to test it.
+Close = Callable[[Column, Column, Column], Column]
 
 
 def links_in_buckets(
@@ -44,7 +45,8 @@ def links_in_buckets(
 
     rows: id long, bucket long, and hint if close is given without hinter; a row for each place of a node in a bucket.
     verifier: the ids that may come up, once each -> a function from pairs (a, b), a < b, to those that are linked.
-    close: two hints -> false only if the pair would not be linked.
+    close: two hints, and a condition that holds in one bucket of a pair alone (true where hints are of places) -> false
+    only if the condition is, or if the pair would not be linked.
     hinter: the ids of buckets that are open after the first round -> id, hint, where hints belong to the node; and pairs
     (a, b) of them to be tested whatever close says, if any.
     """
@@ -83,11 +85,9 @@ def links_in_buckets(
         pairs = []
         links = reduce(DataFrame.unionByName, found)
         known = few_parts(cut(known_of(links)))
-        rest = here.select("bucket", "id", "hint").join(small(chosen).select("bucket", "id"), ["bucket", "id"], "left_anti")
-        rest = rest.join(small(known, KEYS), "id", "left")
-        rest = rest.withColumns({"root": F.coalesce("root", "id"), "degree": F.coalesce("degree", F.lit(0))})
         # a representative has met all others, those that left with it too
-        rest = few_parts(cut(rest.select("bucket", "id", "hint", "root", "degree")))
+        rest = here.select("bucket", "id", "hint").join(small(chosen).select("bucket", "id"), ["bucket", "id"], "left_anti")
+        rest = few_parts(cut(with_roots(rest, known)))
         of_root = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         of_bucket = of_root.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("roots"),
@@ -101,7 +101,8 @@ def links_in_buckets(
         here = few_parts(cut(rest.join(small(left, KEYS), "bucket").drop("main", "others")))
         if hinter and not level:
             hints, more = hinter(cut(here.select("id").distinct()))
-            hints = cut(hints)
+            places = here.groupBy("id").agg(F.collect_set("bucket").alias("places"))
+            hints = cut(hints.join(places, "id"))
             if more is not None:
                 ends = [small(known, KEYS).select(F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
                 more = more.join(ends[0], "a", "left").join(ends[1], "b", "left")
@@ -123,16 +124,29 @@ def representatives(here: DataFrame, left: DataFrame | None, level: int, wide: i
     return few_parts(cut(out))
 
 
+def with_roots(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """rest (bucket, id, hint) with the root and degree of each id."""
+    row = rest.select("id", F.struct("bucket", "hint").alias("row"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("degree"))
+    told = known.select("id", F.lit(None).cast(row.schema["row"].dataType).alias("row"), "root", "degree")
+    # an id's one row of known stands beside its places, which are not many
+    mine = Window.partitionBy("id")
+    both = row.unionByName(told).select("id", "row", F.max("root").over(mine).alias("root"), F.max("degree").over(mine).alias("degree"))
+    both = both.where("row is not null").select("row.bucket", "id", "row.hint", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    return both
+
+
 def open_pairs(here: DataFrame, chosen: DataFrame, close: Close | None, hints: DataFrame | None) -> DataFrame:
     """a, b: members and representatives of one bucket that are not known to be of one component."""
-    on = F.col("x.root") != F.col("y.root")
+    x, y = F.col("x"), F.col("y")
+    on, once, more = x["root"] != y["root"], F.lit(True), []
     if hints is not None:
-        here, chosen = (x.drop("hint").join(hints, "id") for x in (here, chosen))
+        here, chosen = (t.drop("hint").join(hints, "id") for t in (here, chosen))
+        # of the buckets that a pair shares the first tests it
+        once, more = F.array_min(F.array_intersect(x["places"], y["places"])) == F.col("bucket"), ["places"]
     if close and (hints is not None or here.schema["hint"].dataType.typeName() == "struct"):
-        on = on & close(F.col("x.hint"), F.col("y.hint"))
-    x = here.select("bucket", F.struct("id", "root", "hint").alias("x"))
-    y = chosen.select("bucket", F.struct("id", "root", "hint").alias("y"))
-    both = x.join(y, "bucket").where(on)
+        on = on & close(x["hint"], y["hint"], once)
+    one, two = (t.select("bucket", F.struct("id", "root", "hint", *more).alias(n)) for t, n in ((here, "x"), (chosen, "y")))
+    both = one.join(small(two), "bucket").where(on)
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 

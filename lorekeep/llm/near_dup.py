@@ -100,7 +100,7 @@ def bag(h: np.ndarray) -> np.ndarray:
     return np.minimum(127, np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)).astype(np.int8)
 
 
-def close(x: Column, y: Column) -> Column:
+def close(x: Column, y: Column, once: Column) -> Column:
     """False for two hints (words, bag) whose texts have more words without a partner than edits are allowed."""
     allowed = F.floor((1 - SIMILARITY) * F.greatest(x["words"], y["words"]) + 1e-9)
 
@@ -109,7 +109,7 @@ def close(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(p, q, lambda a, b: F.greatest(zero, a.cast("int") - b.cast("int"))), zero, lambda s, v: s + v)
 
     apart = F.abs(x["words"] - y["words"])
-    return (apart <= allowed) & (more(x["bag"], y["bag"]) <= allowed) & (more(y["bag"], x["bag"]) <= allowed)
+    return (apart <= allowed) & once & (more(x["bag"], y["bag"]) <= allowed) & (more(y["bag"], x["bag"]) <= allowed)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -298,13 +298,13 @@ def order_buckets(nodes: DataFrame) -> DataFrame:
     """id, bucket: for each text the signatures of its sampled k-mers, two and two, that others sample too.
     nodes: id, mins, places."""
     sampled = nodes.select("id", F.posexplode(F.arrays_zip("mins", "places")).alias("f", "s"))
-    sampled = sampled.select("id", "f", F.col("s.mins").alias("key"), F.col("s.places").alias("at"), F.xxhash64("f", "s.mins").alias("k"))
-    several = cut(sampled.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
-    shared = sampled.join(small(several, 200_000), "k")
-    shared = shared.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("f", F.struct("key", "at")))).alias("s"))
+    sampled = sampled.select(F.xxhash64("f", "s.mins").alias("key"), "id", F.col("f").cast("tinyint").alias("f"), F.col("s.places").alias("at"))
+    several = sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = sampled.join(several, "key").groupBy("id")
+    shared = shared.agg(F.map_from_entries(F.collect_list(F.struct("f", F.struct("key", "at")))).alias("s"))
 
     def signature(f: int, g: int) -> Column:
-        x, y = F.col("s")[f], F.col("s")[g]
+        x, y = (F.col("s")[F.lit(i).cast("tinyint")] for i in (f, g))
         first, second = F.xxhash64(F.lit(f), x["key"], F.lit(g), y["key"]), F.xxhash64(F.lit(g), y["key"], F.lit(f), x["key"])
         return F.when(x.isNotNull() & y.isNotNull(), F.when(x["at"] <= y["at"], first).otherwise(second))
 

@@ -67,5 +67,31 @@ def test_hub_of_unlike_copies(spark):
     links = linking.links_in_buckets(rows.drop("hint"), lambda ids: lambda pairs: pairs.where(linked & inside))
     assert {r.id: r.root for r in linking.components(links).collect()} == {i: 0 if i < 3000 else 3000 + i % 100 for i in range(n)}
     rows = rows.where("bucket = 1")
-    links = linking.links_in_buckets(rows, lambda ids: lambda pairs: pairs.where(linked), close=lambda x, y: x == y)
+    links = linking.links_in_buckets(rows, lambda ids: lambda pairs: pairs.where(linked), close=lambda x, y, once: (x == y) & once)
     assert {r.id: r.root for r in linking.components(links).collect()} == {i: 3000 + i % 100 for i in range(3000, n)}
+
+
+def test_hints_of_nodes(spark):
+    """The same classes where hints of the nodes tell pairs apart, and each pair is tested in one bucket."""
+    r = random.Random(3)
+    n = 300
+    members = {b: set(r.sample(range(n), 120)) for b in range(12)}
+    links = {(min(p), max(p)) for p in (r.sample(range(n), 2) for _ in range(400))} | {(min(7, i), max(7, i)) for i in range(0, n, 3) if i != 7}
+    links = {p for p in links if (p[0] + p[1]) % 5}
+    rows = spark.createDataFrame([(b, i) for b, ids in members.items() for i in ids], "bucket long, id long")
+    known = F.broadcast(spark.createDataFrame(list(links), "a long, b long"))
+    hints = spark.range(n).select("id", F.struct(F.col("id").alias("k")).alias("hint"))
+    tested = []
+
+    def verify(pairs):
+        tested.append(pairs.count())
+        return pairs.join(known, ["a", "b"], "left_semi")
+
+    def close(x, y, once):
+        return ((x["k"] + y["k"]) % 5 != 0) & once
+
+    found = linking.links_in_buckets(rows, lambda ids: verify, close, lambda ids: (ids.join(hints, "id"), None))
+    got = {x.id: x.root for x in linking.components(found).collect()}
+    want = roots(range(n), [p for p in links if any(set(p) <= ids for ids in members.values())])
+    assert {i: got.get(i, i) for i in range(n)} == want
+    assert sum(tested[1:]) <= n * n / 2
