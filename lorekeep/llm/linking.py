@@ -27,8 +27,10 @@ from .common import counted, cut, few_parts, release, small
 
 #: So many members outside the largest component are few; the most representatives of a bucket in a round.
 FEW, MOST = 64, 4096
-#: So many 64-bit keys are broadcast at most, 12 MB.
-KEYS = 500_000
+#: So many 64-bit keys are broadcast at most, 3 MB.
+KEYS = 100_000
+#: Edges to a partition of the union-find.
+EDGES = 20_000
 
 #: Two hints, and whether no other bucket tests the pair -> whether to test it.
 Close = Callable[[Column, Column, Column], Column]
@@ -86,8 +88,7 @@ def links_in_buckets(
         links = reduce(DataFrame.unionByName, found)
         known = few_parts(cut(known_of(links)))
         # a representative has met all others, those that left with it too
-        rest = here.select("bucket", "id", "hint").join(small(chosen).select("bucket", "id"), ["bucket", "id"], "left_anti")
-        rest = few_parts(cut(with_roots(rest, known)))
+        rest = few_parts(cut(with_roots(without(here, chosen), known)))
         of_root = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         of_bucket = of_root.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("roots"),
@@ -124,6 +125,13 @@ def representatives(here: DataFrame, left: DataFrame | None, level: int, wide: i
     return few_parts(cut(out))
 
 
+def without(here: DataFrame, chosen: DataFrame) -> DataFrame:
+    """bucket, id, hint of the places that are not among those chosen."""
+    place = ["bucket", "id", "hint"]
+    both = here.select(*place, F.lit(0).alias("c")).unionByName(chosen.select(*place, F.lit(1).alias("c")))
+    return both.groupBy(*place).agg(F.max("c").alias("c")).where("c = 0").select(*place)
+
+
 def with_roots(rest: DataFrame, known: DataFrame) -> DataFrame:
     """rest (bucket, id, hint) with the root and degree of each id."""
     row = rest.select("id", F.struct("bucket", "hint").alias("row"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("degree"))
@@ -158,8 +166,8 @@ def known_of(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every node of the links (a, b): root is the smallest id of its component."""
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    parts = min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + counted(edges) // EDGES)
     now = None
     while True:
         # large star: the larger neighbours of a node go to the smallest of its neighbours and itself
