@@ -30,18 +30,28 @@ def normalized(x: Column) -> Column:
 
 
 def pattern_redacted(x: Column) -> Column:
+    """Each rule in order. White space, words and their bounds are those of Unicode."""
     for pattern, by in REDACTIONS[:-1]:
-        x = F.regexp_replace(x, pattern, by)
+        x = F.regexp_replace(x, "(?U)" + pattern, by)
     pattern, by = REDACTIONS[-1]
-    return F.when(x.rlike(LABELS), F.regexp_replace(x, pattern, by)).otherwise(x)
+    return F.when(x.rlike(LABELS), F.regexp_replace(x, "(?U)" + pattern, by)).otherwise(x)
 
 
 def entropy(x: Column) -> Column:
-    """Shannon entropy in bits per character."""
-    chars = F.split(x, "")
+    """Shannon entropy in bits per character: log2(n) less the mean of log2 of each character's count. The characters are
+    sorted, and each run of equal ones adds its share where it ends."""
     n = F.length(x)
-    share = lambda c: F.size(F.filter(chars, lambda d: d == c)) / n
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def share(run: Column) -> Column:
+        return F.when(run > 0, run * F.log2(run.cast("double"))).otherwise(0.0)
+
+    def step(s: Column, c: Column) -> Column:
+        same = F.struct(c.alias("last"), (s["run"] + 1).alias("run"), s["sum"].alias("sum"))
+        other = F.struct(c.alias("last"), F.lit(1).alias("run"), (s["sum"] + share(s["run"])).alias("sum"))
+        return F.when(s["last"] == c, same).otherwise(other)
+
+    return F.aggregate(F.array_sort(F.split(x, "")), start, step, lambda s: F.log2(n.cast("double")) - (s["sum"] + share(s["run"])) / n)
 
 
 def looks_secret(token: Column) -> Column:
@@ -49,9 +59,9 @@ def looks_secret(token: Column) -> Column:
 
 
 def entropy_redacted(x: Column) -> Column:
-    tokens = F.regexp_extract_all(x, F.lit(r"\S+|\s+"), F.lit(0))
+    tokens = F.regexp_extract_all(x, F.lit(r"(?U)\S+|\s+"), F.lit(0))
     swept = F.array_join(F.transform(tokens, lambda t: F.when(looks_secret(t), F.lit("[REDACTED_HIGH_ENTROPY]")).otherwise(t)), "")
-    return F.when(x.rlike(rf"\S{{{ENTROPY_CHARS},}}"), swept).otherwise(x)
+    return F.when(x.rlike(rf"(?U)\S{{{ENTROPY_CHARS},}}"), swept).otherwise(x)
 
 
 def redacted(x: Column) -> Column:
@@ -83,6 +93,11 @@ def remote(url: Column) -> Column:
     return F.regexp_replace(F.rtrim(url, F.lit("/")), r"\.git$", "")
 
 
+def remote_name(url: str) -> str:
+    """remote() of one string on the driver."""
+    return url.rstrip("/").removesuffix(".git")
+
+
 def project_key(url: Column, root: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(remote(url), F.lit("")), F.nullif(root, F.lit("")), path)
 

@@ -40,3 +40,24 @@ def gated(found: DataFrame, texts: DataFrame, settings: Settings | None = None)
     x = x.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
     best = Window.partitionBy("session").orderBy(F.col("confidence").desc(), "pos")
     return x.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= s.max_per_session)
+
+
+def grounded(texts: DataFrame, quotes: DataFrame, words: int = 5) -> DataFrame:
+    """id, quote_id: the texts (id, text) that hold a quote (quote_id, quote), both normalised once. Words inside a quote
+    are whole words of a text that holds it, so a run of them finds the candidates; quotes too short for a run, which is
+    counted first, are compared with all texts while they are few."""
+    t = texts.select("id", normalized(F.col("text")).alias("_text"))
+    q = quotes.select("quote_id", normalized(F.col("quote")).alias("_quote")).where("_quote is not null")
+    inside = F.slice(F.split("_quote", " "), 2, words)
+    long = F.size(F.split("_quote", " ")) >= words + 2
+    t = t.withColumn("_w", F.split("_text", " "))
+    at = F.when(F.size("_w") >= words, F.sequence(F.lit(1), F.size("_w") - words + 1)).otherwise(F.array().cast("array<int>"))
+    runs = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("_w", i, words))))
+    found = t.select("id", F.explode(runs).alias("_run")).join(q.where(long).select("quote_id", F.xxhash64(inside).alias("_run")), "_run")
+    found = found.select("id", "quote_id").distinct().join(t.select("id", "_text"), "id").join(q, "quote_id")
+    short = q.where(~long)
+    if short.limit(1_001).count() <= 1_000:
+        short = F.broadcast(short)
+    return found.where(F.contains("_text", F.col("_quote"))).select("id", "quote_id").unionByName(
+        t.join(short, F.contains("_text", F.col("_quote"))).select("id", "quote_id")
+    )

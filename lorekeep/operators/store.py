@@ -14,17 +14,36 @@ from ..schemas import BOOKMARKS, EVENT
 from ..settings import CATEGORIES, REINFORCE_CAP, REINFORCE_STEP, SCOPES, STATUSES
 
 
-def fold_memories(events: DataFrame, scrub: bool = False) -> DataFrame:
-    """The memories that exist after all events."""
-    of = lambda action: F.when(F.col("action") == action, F.col("seq"))
-    x = events.groupBy("entity_id").agg(
-        F.max_by("memory", of("add")).alias("m"), F.max(of("add")).alias("added"), F.max(of("forget")).alias("gone"),
-        F.max_by(F.substring("action", 8, 100), F.when(F.startswith("action", F.lit("status:")), F.col("seq"))).alias("status"),
-        F.count_if(F.col("action") == "reinforce").cast("int").alias("n"), F.count_if(F.col("action") == "retrieve").alias("seen"), F.max(F.when(F.col("action") == "retrieve", F.col("ts"))).alias("last"))
-    x = x.where(F.col("added").isNotNull() & (F.coalesce("gone", F.lit(-1)) < F.col("added")))
+def fold_memories(events: DataFrame) -> DataFrame:
+    """The memories that exist after all events. What happens to an id before its last add, in an earlier life or in
+    none, has no effect on it."""
+    at = F.col("seq")
+    kind = F.col("action")
+    lives = events.where(kind.isin("add", "forget")).groupBy("entity_id")
+    lives = lives.agg(
+        F.max_by("memory", F.when(kind == "add", at)).alias("m"),
+        F.max(F.when(kind == "add", at)).alias("added"),
+        F.max(F.when(kind == "forget", at)).alias("gone"),
+    )
+    lives = lives.where(F.col("added").isNotNull() & (F.coalesce("gone", F.lit(-1)) < F.col("added")))
+    since = events.join(lives.select("entity_id", "added"), "entity_id").where(at > F.col("added"))
+    status = F.when(F.startswith("action", F.lit("status:")), at)
+    since = since.groupBy("entity_id").agg(
+        F.max_by(F.substring("action", 8, 100), status).alias("status"),
+        F.count_if(kind == "reinforce").cast("int").alias("n"),
+        F.count_if(kind == "retrieve").alias("seen"),
+        F.max(F.when(kind == "retrieve", F.col("ts"))).alias("last"),
+    )
+    x = lives.join(since, "entity_id", "left")
     # step by step, as repeated updates would; a closed form differs in the last bit
-    confidence = F.when(F.col("n") > 0, F.aggregate(F.sequence(F.lit(1), F.col("n")), F.col("m.confidence"), lambda a, _: F.least(F.lit(REINFORCE_CAP), a + F.lit(REINFORCE_STEP)))).otherwise(F.col("m.confidence"))
-    now = {"status": F.coalesce("status", F.col("m.status")), "confidence": confidence, "last_retrieved": F.coalesce("last", F.col("m.last_retrieved")), "times_retrieved": F.coalesce("m.times_retrieved", F.lit(0)) + F.col("seen")}
+    start, steps = F.col("m.confidence"), F.sequence(F.lit(1), F.col("n"))
+    raised = F.aggregate(steps, start, lambda a, _: F.least(F.lit(REINFORCE_CAP), a + F.lit(REINFORCE_STEP)))
+    now = {
+        "status": F.coalesce("status", F.col("m.status")),
+        "confidence": F.when(F.col("n") > 0, raised).otherwise(start),
+        "last_retrieved": F.coalesce("last", F.col("m.last_retrieved")),
+        "times_retrieved": F.coalesce("m.times_retrieved", F.lit(0)) + F.coalesce("seen", F.lit(0)),
+    }
     return x.select(*[now.get(f.name, F.col(f"m.{f.name}")).alias(f.name) for f in x.schema["m"].dataType])
 
 

@@ -18,6 +18,7 @@ CONTENT_CHARS = (10, 300)
 ENTROPY_CHARS, ENTROPY_BITS = 28, 4.0
 REINFORCE_STEP, REINFORCE_CAP = 0.1, 1.0
 NOMINATIONS = 20
+GIT_SECONDS = 5
 
 
 @dataclass

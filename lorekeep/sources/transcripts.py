@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,11 +13,32 @@ from ..functions.text import strip
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def glob_pattern(glob: str) -> str:
+    """A regular expression for paths below the root: `**/` any folders, `*` and `?` within a name."""
+    parts = re.split(r"(\*\*/|\*|\?)", glob)
+    made = {"**/": "(?:[^/]+/)*", "*": "[^/]*", "?": "[^/]"}
+    return "(?:^|/)" + "".join(made.get(p, re.escape(p)) for p in parts) + "$"
+
+
 def discover(spark: SparkSession, root: str, glob: str = "*.jsonl", since_epoch: float | None = None) -> DataFrame:
-    """path, content, hash (MD5 of the bytes), modified of the files below root, modified at or after since_epoch, by path."""
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob.rsplit("/", 1)[-1]).load(root)
+    """path, content, hash (MD5 of the bytes), modified of the files below root that match glob, modified at or after
+    since_epoch, by path. A root that is not there has none."""
+    schema = "path string, content binary, hash string, modified timestamp"
+    if not exists(spark, root):
+        return spark.createDataFrame([], schema)
+    name = glob.rsplit("/", 1)[-1]
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
     x = x.select("path", "content", F.md5("content").alias("hash"), F.col("modificationTime").alias("modified"))
-    return x if since_epoch is None else x.where(F.col("modified").cast("double") >= since_epoch)
+    if "/" in glob:
+        x = x.where(F.col("path").rlike(glob_pattern(glob)))
+    if since_epoch is not None:
+        x = x.where(F.col("modified").cast("double") >= since_epoch)
+    return x.orderBy("path")
 
 
 def lines(files: DataFrame) -> DataFrame:
