@@ -29,6 +29,8 @@ from .common import counted, cut, few_parts, release, small
 FEW, MOST = 64, 4096
 #: So many 64-bit keys are broadcast at most, 3 MB.
 KEYS = 100_000
+#: So many places of representatives with hints, of about 1 KB, are broadcast at most.
+PLACES = 30_000
 #: Edges to a partition of the union-find.
 EDGES = 20_000
 
@@ -146,6 +148,7 @@ def with_roots(rest: DataFrame, known: DataFrame) -> DataFrame:
 def open_pairs(here: DataFrame, chosen: DataFrame, close: Close | None, hints: DataFrame | None) -> DataFrame:
     """a, b: members and representatives of one bucket that are not known to be of one component."""
     x, y = F.col("x"), F.col("y")
+    chosen_rows = counted(chosen)
     on, once, more = x["root"] != y["root"], F.lit(True), []
     if hints is not None:
         here, chosen = (t.drop("hint").join(hints, "id") for t in (here, chosen))
@@ -154,7 +157,7 @@ def open_pairs(here: DataFrame, chosen: DataFrame, close: Close | None, hints: D
     if close and (hints is not None or here.schema["hint"].dataType.typeName() == "struct"):
         on = on & close(x["hint"], y["hint"], once)
     one, two = (t.select("bucket", F.struct("id", "root", "hint", *more).alias(n)) for t, n in ((here, "x"), (chosen, "y")))
-    both = one.join(small(two), "bucket").where(on)
+    both = one.join(F.broadcast(two) if chosen_rows <= PLACES else two, "bucket").where(on)
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 

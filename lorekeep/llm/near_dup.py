@@ -2,7 +2,7 @@
 
 The k-mers of a document are its runs of five words, each labelled with its occurrence number (the third time a run
 comes up it is another k-mer). Under each of FUNCTIONS hash functions the smallest k-mer is sampled together with its
-place. Two of the sampled k-mers (of functions that are APART in a ring, 48 times two) in the order in which they stand in
+place. Two of the sampled k-mers (of functions that are neighbours in a ring, 36 times two) in the order in which they stand in
 the text are a signature: equal signatures need equal k-mers in equal order, which makes them sensitive to edit
 similarity and not only to shared content. Sampled
 k-mers that no other text samples are dropped after counting, before the signatures are made, so that texts without a
@@ -32,9 +32,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut, small, text_of
 from .linking import components, links_in_buckets
 
-K, FUNCTIONS, SIMILARITY, BINS = 5, 24, 0.8, 512
+K, FUNCTIONS, SIMILARITY, BINS = 5, 36, 0.8, 512
 #: Which two functions make a signature: those so far apart in a ring.
-APART = (1, 5)
+APART = (1,)
 #: Words of the texts that are handled at once.
 PART = 50_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
