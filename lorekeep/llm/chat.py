@@ -93,10 +93,29 @@ def with_loss_mask(formatted: DataFrame, role: str = "assistant") -> DataFrame:
     return x.withColumn("mask", F.flatten(runs))
 
 
-def digests(masked: DataFrame, role: str = "assistant") -> DataFrame:
-    """conv_id and the digest columns, from what was read back."""
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """The runs of the formatted text under the loss mask, unescaped, one after the other."""
+    # in units of four bytes each, where a run is found without counting from the start
+    units = F.encode(formatted, "UTF-32BE")
+    begins = F.aggregate(mask, F.array(F.lit(0)), lambda s, m: F.array_append(s, F.element_at(s, -1) + m["chars"]))
+    runs = F.zip_with(mask, F.slice(begins, F.lit(1), F.size(mask)), lambda m, at: F.struct(m["chars"].alias("chars"), m["loss"].alias("loss"), at.alias("at")))
+
+    def cut(both: Column) -> Column:
+        shown = F.filter(both["runs"], lambda r: r["loss"])
+        return F.transform(shown, lambda r: unescape(F.decode(F.substr(both["units"], 4 * r["at"] + 1, 4 * r["chars"]), "UTF-32BE")))
+
+    # through an array of one, so that the text is encoded once and not once a run
+    return F.array_join(F.element_at(F.transform(F.array(F.struct(units.alias("units"), runs.alias("runs"))), cut), 1), "")
+
+
+def digests(masked: DataFrame) -> DataFrame:
+    """conv_id and the digest columns, from what was read back; the loss ones of what the mask shows of the formatted text."""
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    # the masked runs are the raw texts of the role's turns, in order
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == role), lambda t: unescape(t["raw"])), "")
-    x = masked.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    x = masked.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        masked_text(F.col("formatted"), F.col("mask")).alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
     return x.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

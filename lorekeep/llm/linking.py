@@ -74,7 +74,9 @@ def links_in_buckets(
     shared = shared.select("bucket", "id", "hint", F.col("id").alias("root"), F.lit(0).cast("long").alias("degree"))
     here = few_parts(cut(shared.join(small(several, KEYS), "bucket")))
     ends = pairs[0].select("a").unionByName(pairs[0].select(F.col("b").alias("a"))).select(F.col("a").alias("id"))
-    verify = verifier(cut(ends.unionByName(here.select("id")).distinct()))
+    ends = cut(ends.unionByName(here.select("id")).distinct())
+    release(spark)
+    verify = verifier(ends)
     tasks = 2 * spark.sparkContext.defaultParallelism
 
     found, level, wide, hints, left = [], 0, 1, None, None

@@ -7,7 +7,8 @@ broken by id, and k kept. A partition reports of its histogram only the uppermos
 loses nothing: the global kth score is never below a partition's own.
 
 Queries go in blocks of bounded size against all rows; only a block and its edges are broadcast. Scores are integers: components are
-scaled and floored. Products are summed exactly: in doubles where sums stay below 2^53, in 64-bit integers below 2^63; vectors beyond that are refused.
+scaled and floored. Products are summed exactly: in doubles where sums stay below 2^53, in 64-bit integers below 2^62, and in integers
+of any size beyond. Scaled components beyond 64 bits are held at their ends, and scores within 2^62 either way.
 
 Edge cases: see blocks.py for vectors that take no part; fewer than k candidates give all of them; an empty table gives no rows; extra columns do not take part.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .blocks import arrays, fitted, query_blocks, usable
 from .common import cut
 
+#: Scores are held within this either way.
+MOST = 2**62 - 1
 #: Rows scored at once.
 ROWS = 2_048
 
@@ -35,7 +38,9 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
         return (x @ q.T).astype(np.int64)
     if most < 2**62:
         return x.astype(np.int64) @ q.astype(np.int64).T
-    raise ValueError("scores do not fit 64-bit integers")
+    exact = x.astype(object), q.T.astype(object)
+    whole = np.vectorize(int, otypes=[object])
+    return np.clip(whole(exact[0]) @ whole(exact[1]), -MOST, MOST).astype(np.int64)
 
 
 def _histogram(qids, q, low, width, bins, k):

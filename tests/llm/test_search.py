@@ -53,6 +53,19 @@ def test_top_k(spark):
         assert {tuple(r) for r in got.collect()} == brute(clean(df), lambda i: i % 10 == 0, 10, integer)
 
 
+def test_top_k_of_very_large_components(spark):
+    big = [(i, [v, 1.0], "x", 1, 2, 3) for i, v in enumerate((1e17, -1e17, 3e16, 1.0, 1e300, -1e12, 2.5))]
+    df = spark.createDataFrame(big, SCHEMA.replace("array<float>", "array<double>"))
+    held = lambda x: max(-(2**63), min(2**63 - 1, math.floor(1024 * x)))
+
+    def measure(a, b):
+        s = sum(int(float(held(x))) * int(float(held(y))) for x, y in zip(a, b, strict=True))
+        return max(-topk.MOST, min(topk.MOST, s))
+
+    got = topk.top_k(df, F.col("id") % 2 == 0, k=4)
+    assert {tuple(r) for r in got.collect()} == brute(clean(df), lambda i: i % 2 == 0, 4, measure)
+
+
 def test_top_k_repeated_rows_few_rows_and_none(spark):
     few = spark.createDataFrame([r for r in rows(300)[20:26]] * 2, SCHEMA)
     got = topk.top_k(few, F.col("id") % 10 == 0, k=10)
