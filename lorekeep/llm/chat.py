@@ -96,13 +96,13 @@ def with_loss_mask(formatted: DataFrame, role: str = "assistant") -> DataFrame:
 def masked_text(formatted: Column, mask: Column) -> Column:
     """The runs of the formatted text under the loss mask, unescaped, one after the other."""
     # in units of four bytes each, where a run is found without counting from the start
-    units = F.encode(formatted, "UTF-32BE")
+    units = F.encode(formatted, "UTF-32")
     begins = F.aggregate(mask, F.array(F.lit(0)), lambda s, m: F.array_append(s, F.element_at(s, -1) + m["chars"]))
     runs = F.zip_with(mask, F.slice(begins, F.lit(1), F.size(mask)), lambda m, at: F.struct(m["chars"].alias("chars"), m["loss"].alias("loss"), at.alias("at")))
 
     def cut(both: Column) -> Column:
         shown = F.filter(both["runs"], lambda r: r["loss"])
-        return F.transform(shown, lambda r: unescape(F.decode(F.substr(both["units"], 4 * r["at"] + 1, 4 * r["chars"]), "UTF-32BE")))
+        return F.transform(shown, lambda r: unescape(F.decode(F.substr(both["units"], 4 * r["at"] + 1, 4 * r["chars"]), "UTF-32")))
 
     # through an array of one, so that the text is encoded once and not once a run
     return F.array_join(F.element_at(F.transform(F.array(F.struct(units.alias("units"), runs.alias("runs"))), cut), 1), "")

@@ -28,6 +28,8 @@ from .linking import components, links_in_buckets
 SHINGLE, CHUNK, MINS, SIMILARITY = 8, 16, 10, 0.8
 #: Which minima make a band: those so far on in a ring.
 BAND = (0, 1, 3)
+#: Words of the bitmaps that tell lines apart.
+WORDS = 64
 #: Documents with lines to go that are broadcast at most, with ten lines each on average.
 FLAGS = 200_000
 
@@ -118,7 +120,9 @@ class Lines:
         of = cut(of.select("n", who.alias("who")))
         rare = of.select(F.explode("who").alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("rare"))
         sized = mine.join(rare, "h1", "left").select(F.col("h1").alias("id"), F.size("s").alias("n"), F.coalesce("rare", F.lit(0)).alias("rare"))
-        sized = cut(sized.select("id", F.struct("n", (F.col("n") - F.col("rare")).alias("common")).alias("hint")))
+        sized = sized.join(bitmaps(mine), "id")
+        common = (F.col("n") - F.col("rare")).alias("common")
+        sized = cut(sized.select("id", F.struct("n", common, "bits", "set").alias("hint")))
         w = F.col("who")
         both = F.when(F.col("n") == 2, F.array(F.struct(w[0].alias("a"), w[1].alias("b"))))
         both = both.otherwise(F.array(*[F.struct(w[i].alias("a"), w[j].alias("b")) for i, j in ((0, 1), (0, 2), (1, 2))]))
@@ -136,9 +140,25 @@ def similar_at_best(x: Column, y: Column, shared: Column) -> Column:
     return both >= SIMILARITY * (x["n"] + y["n"] - both)
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """id, bits, set: for each line (h1, s) WORDS words of 64 bits, where the bits of its shingles' hashes are set, and how
+    many are."""
+    x = sets.select(F.col("h1").alias("id"), F.explode("s").alias("x"))
+    word, bit = F.shiftrightunsigned("x", 58), F.shiftrightunsigned("x", 52).bitwiseAND(F.lit(63)).cast("int")
+    one = F.expr("shiftleft(1L, bit)")
+    x = x.select("id", word.cast("int").alias("word"), bit.alias("bit")).groupBy("id", "word").agg(F.bit_or(one).alias("b"))
+    x = x.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "b"))).alias("m"), F.sum(F.bit_count("b")).cast("int").alias("set"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0).cast("long")))
+    return x.select("id", bits.alias("bits"), "set")
+
+
 def close(x: Column, y: Column, once: Column) -> Column:
-    """Of two lines that share no uncommon shingle."""
-    return similar_at_best(x, y, F.lit(0)) & once
+    """Of two lines that share no uncommon shingle: false if these, or the bits that only one of them has, are too many."""
+    zero = F.lit(0)
+    shared = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseAND(b))), zero, lambda s, v: s + v)
+    # a bit that only one has is of a shingle that only it has
+    both = F.least(x["n"] - x["set"], y["n"] - y["set"]) + shared
+    return similar_at_best(x, y, zero) & once & (both >= SIMILARITY * (x["n"] + y["n"] - both))
 
 
 def decisions(docs: DataFrame) -> DataFrame:
