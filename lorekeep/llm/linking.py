@@ -87,6 +87,7 @@ def links_in_buckets(
         new = few_parts(cut(reduce(DataFrame.unionByName, pairs).distinct()))
         # the next joins spread the pairs anew, unless they are broadcast
         new = few_parts(cut(verify(new.repartition(max(tasks, 1 + counted(new) // 10_000)))))
+        release(spark)
         found.append(new)
         pairs = []
         links = reduce(DataFrame.unionByName, found)
@@ -187,6 +188,7 @@ def components(links: DataFrame) -> DataFrame:
         seen, of = Observation(), F.when(F.col("more") == 0, F.xxhash64("u", "v"))
         state = [F.sum("more").alias("m"), F.count(of).alias("n"), F.bit_xor(of).alias("x"), F.sum(F.shiftright(of, 24)).alias("s")]
         edges = few_parts(cut(both.observe(seen, *state))).select("u", "v")
+        release(links.sparkSession)
         before, now = now, seen.get
         if now == before and not now["m"]:  # every node has one edge, the same as before
             break
