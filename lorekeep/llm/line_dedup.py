@@ -30,6 +30,8 @@ SHINGLE, CHUNK, MINS, SIMILARITY = 8, 16, 10, 0.8
 BAND = (0, 1, 3)
 #: Words of the bitmaps that tell lines apart.
 WORDS = 64
+#: Pairs of lines, and hashes of lines whose texts are wanted, that are broadcast at most: 3 MB, 10 MB.
+PAIRS, WANTED = 100_000, 500_000
 #: Documents with lines to go that are broadcast at most, with ten lines each on average.
 FLAGS = 200_000
 
@@ -94,12 +96,20 @@ class Lines:
 
     def verifier(self, ids: DataFrame):
         """Pairs (a, b) of line hashes -> those with an exact Jaccard similarity of SIMILARITY or more."""
-        wanted = small(ids.select(F.col("id").alias("h1")), 200_000)
-        self.texts = cut(self.lines.join(wanted, "h1", "left_semi").dropDuplicates(["h1"]))
+        wanted = ids.select(F.col("id").alias("h1"))
+        if counted(ids) <= WANTED:
+            mine = self.lines.join(F.broadcast(wanted), "h1", "left_semi").dropDuplicates(["h1"])
+        else:  # each task sends a line once, however often it comes up
+            mine = self.lines.dropDuplicates(["h1"]).join(wanted, "h1", "left_semi")
+        self.texts = cut(mine)
         one, two = (self.texts.select(F.col("h1").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
 
         def verify(pairs: DataFrame) -> DataFrame:
-            x = pairs.join(one, "a").join(two, "b")
+            if counted(pairs) <= PAIRS:  # the texts of these pairs are sent, and not all
+                few = F.broadcast(pairs)
+                x = one.join(few, "a").join(two.join(few, "b"), ["a", "b"])
+            else:
+                x = pairs.join(one, "a").join(two, "b")
             x = x.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
             x = x.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
             return x.where(F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
@@ -118,11 +128,12 @@ class Lines:
         of = of.where("n <= 3").select("n", "a", "b", F.when(F.col("n") == 3, F.expr("a ^ b ^ c")).alias("c"))
         who = F.when(F.col("n") == 1, F.array("a")).when(F.col("n") == 2, F.array("a", "b")).otherwise(F.array("a", "c", "b"))
         of = cut(of.select("n", who.alias("who")))
+        release(mine.sparkSession)
         rare = of.select(F.explode("who").alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("rare"))
-        sized = mine.join(rare, "h1", "left").select(F.col("h1").alias("id"), F.size("s").alias("n"), F.coalesce("rare", F.lit(0)).alias("rare"))
-        sized = sized.join(bitmaps(mine), "id")
-        common = (F.col("n") - F.col("rare")).alias("common")
-        sized = cut(sized.select("id", F.struct("n", common, "bits", "set").alias("hint")))
+        sized = mine.select("h1", F.size("s").alias("n"), firsts("s").alias("v")).join(small(cut(rare), PAIRS), "h1", "left")
+        common = (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common")
+        sized = cut(sized.select(F.col("h1").alias("id"), F.struct("n", common, bitmap(F.col("v")).alias("bits"), F.size("v").alias("set")).alias("hint")))
+        release(sized.sparkSession)
         w = F.col("who")
         both = F.when(F.col("n") == 2, F.array(F.struct(w[0].alias("a"), w[1].alias("b"))))
         both = both.otherwise(F.array(*[F.struct(w[i].alias("a"), w[j].alias("b")) for i, j in ((0, 1), (0, 2), (1, 2))]))
@@ -140,16 +151,23 @@ def similar_at_best(x: Column, y: Column, shared: Column) -> Column:
     return both >= SIMILARITY * (x["n"] + y["n"] - both)
 
 
-def bitmaps(sets: DataFrame) -> DataFrame:
-    """id, bits, set: for each line (h1, s) WORDS words of 64 bits, where the bits of its shingles' hashes are set, and how
-    many are."""
-    x = sets.select(F.col("h1").alias("id"), F.explode("s").alias("x"))
-    word, bit = F.shiftrightunsigned("x", 58), F.shiftrightunsigned("x", 52).bitwiseAND(F.lit(63)).cast("int")
-    one = F.expr("shiftleft(1L, bit)")
-    x = x.select("id", word.cast("int").alias("word"), bit.alias("bit")).groupBy("id", "word").agg(F.bit_or(one).alias("b"))
-    x = x.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "b"))).alias("m"), F.sum(F.bit_count("b")).cast("int").alias("set"))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0).cast("long")))
-    return x.select("id", bits.alias("bits"), "set")
+def firsts(s: str) -> Column:
+    """The different first 12 bits of the hashes of a line's shingles."""
+    return F.array_distinct(F.transform(s, lambda x: F.shiftrightunsigned(x, 52).cast("int")))
+
+
+def bitmap(values: Column) -> Column:
+    """WORDS words of 64 bits, where the bits with these numbers are set. The numbers are dealt out in two steps, which
+    looks at each 16 times and not 64 times."""
+
+    def word(mine: Column, w: Column) -> Column:
+        here = F.filter(mine, lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(7)) == w)
+        one = F.lit(1).cast("long")
+        return F.aggregate(here, F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(F.call_function("shiftleft", one, v.bitwiseAND(F.lit(63)))))
+
+    eight = F.sequence(F.lit(0), F.lit(7))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(WORDS // 8 - 1)), lambda p: F.filter(values, lambda v: F.shiftright(v, 9) == p))
+    return F.flatten(F.transform(parts, lambda mine: F.transform(eight, lambda w: word(mine, w))))
 
 
 def close(x: Column, y: Column, once: Column) -> Column:

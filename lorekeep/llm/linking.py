@@ -13,7 +13,9 @@ Members that are alike cost a few tests each. Only a bucket of unlike members co
 operator's bound `close` tells apart without a look at their texts. A round's pairs are rows that are spread over all
 tasks; no bucket is collected into one.
 
-components: union-find by alternating large-star and small-star steps, each a join and a partial aggregation.
+components: union-find by alternating large-star and small-star steps, each a join and a partial aggregation. After a
+round only its new links are looked at, between the components known before. Up to EDGES links, which were counted, are
+joined on the driver by the same rule, for the steps' many small jobs cost more than the links.
 """
 
 from __future__ import annotations
@@ -21,18 +23,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from .common import counted, cut, few_parts, release, small
 
 #: So many members outside the largest component are few; the most representatives of a bucket in a round.
 FEW, MOST = 64, 4096
-#: So many 64-bit keys are broadcast at most, 3 MB.
-KEYS = 100_000
+#: So many 64-bit keys are broadcast at most, 3 MB; of buckets with several rows, once, 16 MB.
+KEYS, SHARED = 100_000, 500_000
 #: So many places of representatives with hints, of about 1 KB, are broadcast at most.
 PLACES = 30_000
-#: Edges to a partition of the union-find.
-EDGES = 20_000
+#: Edges to a partition of the union-find; so many links are joined on the driver at most, 2 MB.
+SHARE, EDGES = 20_000, 100_000
 
 #: Two hints, and whether no other bucket tests the pair -> whether to test it.
 Close = Callable[[Column, Column, Column], Column]
@@ -57,7 +60,9 @@ def links_in_buckets(
     spark = rows.sparkSession
     # counted first without more of a member than its bucket, as most have one alone
     shared = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
-    shared = few_parts(cut(rows.join(small(shared, KEYS), "bucket")))
+    release(spark)
+    shared = few_parts(cut(rows.join(small(shared, SHARED), "bucket")))
+    release(spark)
     members = F.xxhash64(*[c for c in rows.columns if c != "bucket"])
     sizes = shared.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"),
@@ -79,21 +84,26 @@ def links_in_buckets(
     verify = verifier(ends)
     tasks = 2 * spark.sparkContext.defaultParallelism
 
-    found, level, wide, hints, left = [], 0, 1, None, None
+    found, level, wide, hints, left, roots, known = [], 0, 1, None, None, None, None
     while True:
         release(spark)
         chosen = representatives(here, left, level, wide, few)
         pairs.append(open_pairs(here, chosen, close, hints))
         new = few_parts(cut(reduce(DataFrame.unionByName, pairs).distinct()))
         # the next joins spread the pairs anew, unless they are broadcast
-        new = few_parts(cut(verify(new.repartition(max(tasks, 1 + counted(new) // 10_000)))))
+        spread = new.repartition(max(tasks, 1 + counted(new) // 10_000))
+        spread._counted = counted(new)
+        new = few_parts(cut(verify(spread)))
         release(spark)
-        found.append(new)
         pairs = []
-        links = reduce(DataFrame.unionByName, found)
-        known = few_parts(cut(known_of(links)))
+        if counted(new) or not found:
+            found.append(new)
+            roots = joined(roots, new)
+            links = reduce(DataFrame.unionByName, found)
+            known = few_parts(cut(with_degrees(roots, links)))
         # a representative has met all others, those that left with it too
-        rest = few_parts(cut(with_roots(without(here, chosen), known)))
+        rest = without(here, chosen)
+        rest = few_parts(cut(with_roots(rest, known) if counted(new) else rest))
         of_root = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         of_bucket = of_root.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("roots"),
@@ -131,10 +141,12 @@ def representatives(here: DataFrame, left: DataFrame | None, level: int, wide: i
 
 
 def without(here: DataFrame, chosen: DataFrame) -> DataFrame:
-    """bucket, id, hint of the places that are not among those chosen."""
-    place = ["bucket", "id", "hint"]
-    both = here.select(*place, F.lit(0).alias("c")).unionByName(chosen.select(*place, F.lit(1).alias("c")))
-    return both.groupBy(*place).agg(F.max("c").alias("c")).where("c = 0").select(*place)
+    """The places of here that are not among those chosen."""
+    place, told = ["bucket", "id", "hint"], ["root", "degree"]
+    none = [F.lit(None).cast("long").alias(c) for c in told]
+    both = here.select(*place, *told, F.lit(0).alias("c")).unionByName(chosen.select(*place, *none, F.lit(1).alias("c")))
+    left = both.groupBy(*place).agg(F.max("c").alias("c"), *[F.max(c).alias(c) for c in told])
+    return left.where("c = 0").select(*place, *told)
 
 
 def with_roots(rest: DataFrame, known: DataFrame) -> DataFrame:
@@ -164,16 +176,49 @@ def open_pairs(here: DataFrame, chosen: DataFrame, close: Close | None, hints: D
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
-def known_of(links: DataFrame) -> DataFrame:
+def with_degrees(roots: DataFrame, links: DataFrame) -> DataFrame:
     """id, root, degree of the nodes with links."""
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
-    return components(links).join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id")
+    return roots.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id")
+
+
+def joined(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """id, root of the nodes with links, where roots is what it was before and new are the links that come on top."""
+    if roots is None:
+        return few_parts(cut(components(new)))
+    one, two = (small(roots, KEYS).select(F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    between = new.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = few_parts(cut(components(between.where("a <> b").distinct())))
+    later = small(moved, KEYS).select(F.col("id").alias("root"), F.col("root").alias("now"))
+    was = roots.join(later, "root", "left").select("id", F.coalesce("now", "root").alias("root"))
+    # nodes that had no link before come with their new root, and those that are roots come up twice
+    return few_parts(cut(was.unionByName(moved).distinct()))
+
+
+def joined_here(edges: DataFrame) -> DataFrame:
+    """components() of few links, on the driver."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    found = edges.toArrow()
+    for u, v in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        u, v = root(u), root(v)
+        up[max(u, v)] = min(u, v)
+    ids = list(up)
+    out = pa.table({"id": pa.array(ids, pa.int64()), "root": pa.array([root(x) for x in ids], pa.int64())})
+    return edges.sparkSession.createDataFrame(out)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every node of the links (a, b): root is the smallest id of its component."""
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    parts = min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + counted(edges) // EDGES)
+    if counted(edges) <= EDGES:
+        return joined_here(edges)
+    parts = min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + counted(edges) // SHARE)
     now = None
     while True:
         # large star: the larger neighbours of a node go to the smallest of its neighbours and itself

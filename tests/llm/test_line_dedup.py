@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lorekeep.llm import line_dedup
 
 from .test_near_dup import roots
@@ -92,3 +94,30 @@ def test_rows_of_one_id(spark):
     ]
     got = sorted(r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == ["keep b here ok now", "shared line number one", "unique other line zz qq\nkeep c different text"]
+
+
+def test_bitmaps_have_the_bits_of_all_shingles(spark):
+    hashes = [[], [0], [-1], [i << 52 for i in range(-2048, 2048)], [h * 0x9E3779B97F4A7C1 % 2**63 for h in range(300)]]
+    rows = spark.createDataFrame(list(enumerate(hashes)), "i int, s array<long>")
+    got = rows.select("i", line_dedup.firsts("s").alias("v")).select("i", "v", line_dedup.bitmap(F.col("v")).alias("bits")).collect()
+    for r in got:
+        want = {(h % 2**64) >> 52 for h in hashes[r.i]}
+        assert len(r.v) == len(want) and set(r.v) == want and len(r.bits) == line_dedup.WORDS
+        assert {64 * w + b for w, x in enumerate(r.bits) for b in range(64) if (x % 2**64) >> b & 1} == want
+
+
+def test_only_the_texts_of_few_pairs_are_sent(spark, monkeypatch):
+    lines = spark.createDataFrame([(i, f"line {i // 2} with some more words that are the same {'x' * (i % 2)}") for i in range(40)], "h1 long, line string")
+    found, plans = [], []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for most in (0, 1000):
+        monkeypatch.setattr(line_dedup, "PAIRS", most)
+        monkeypatch.setattr(line_dedup, "WANTED", most)
+        verify = line_dedup.Lines(lines).verifier(line_dedup.cut(lines.select(F.col("h1").alias("id"))))
+        pairs = line_dedup.cut(spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, min(a + 3, 40))], "a long, b long"))
+        out = verify(pairs)
+        plans.append(out._jdf.queryExecution().toString())
+        found.append(sorted(tuple(r) for r in out.collect()))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] and {(a, a + 1) for a in range(0, 40, 2)} <= set(found[0])
+    assert "BroadcastHashJoin" not in plans[0] and "BroadcastHashJoin" in plans[1]

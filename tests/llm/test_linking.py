@@ -95,3 +95,17 @@ def test_hints_of_nodes(spark):
     want = roots(range(n), [p for p in links if any(set(p) <= ids for ids in members.values())])
     assert {i: got.get(i, i) for i in range(n)} == want
     assert sum(tested[1:]) <= n * n / 2
+
+
+def test_components_of_few_and_of_many_links(spark, monkeypatch):
+    """The same on the driver and by joins, also where new links come on top of known components."""
+    r = random.Random(5)
+    links = [tuple(r.sample(range(400), 2)) for _ in range(300)]
+    want = roots({i for p in links for i in p}, links)
+    for most in (0, linking.EDGES):
+        monkeypatch.setattr(linking, "EDGES", most)
+        known = None
+        for part in (links[:100], links[100:100], links[100:220], links[220:]):
+            known = linking.joined(known, spark.createDataFrame([(min(p), max(p)) for p in part], "a long, b long"))
+        got = [(x.id, x.root) for x in known.collect()]
+        assert len(got) == len(want) and dict(got) == want
