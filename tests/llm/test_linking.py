@@ -109,3 +109,16 @@ def test_components_of_few_and_of_many_links(spark, monkeypatch):
             known = linking.joined(known, spark.createDataFrame([(min(p), max(p)) for p in part], "a long, b long"))
         got = [(x.id, x.root) for x in known.collect()]
         assert len(got) == len(want) and dict(got) == want
+
+
+def test_places_of_a_node_leave_together(spark):
+    """A bucket in which nodes have many hints is done as soon as one in which they have one."""
+    rows = spark.range(40).select((F.col("id") % 4).alias("id"), F.lit(0).cast("long").alias("bucket"), F.struct(F.col("id").alias("k")).alias("hint"))
+    rounds = []
+
+    def verify(pairs):
+        rounds.append(pairs.count())
+        return pairs.where("false")
+
+    found = linking.links_in_buckets(rows, lambda ids: verify, close=lambda x, y, once: F.lit(True))
+    assert not found.count() and rounds[0] and len([n for n in rounds if n]) <= 2
