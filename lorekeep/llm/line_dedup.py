@@ -110,45 +110,34 @@ class Lines:
                 x = one.join(few, "a").join(two.join(few, "b"), ["a", "b"])
             else:
                 x = pairs.join(one, "a").join(two, "b")
-            x = x.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
-            x = x.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-            return x.where(F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+            return x.where(similar(F.col("la"), F.col("lb"))).select("a", "b")
 
         return verify
 
-    def hinter(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """id, hint: the number of a line's shingles, and of the common ones, which more than three of these lines have;
-        and the pairs of lines that share enough of the others to be similar if they share all common ones."""
-        mine = self.texts.join(small(ids.select(F.col("id").alias("h1")), 200_000), "h1")
-        mine = cut(mine.select("h1", shingles(F.col("line")).alias("s")))
-        of = mine.select("h1", F.explode("s").alias("x")).groupBy("x").agg(
-            F.count(F.lit(1)).alias("n"), F.min("h1").alias("a"), F.max("h1").alias("b"), F.bit_xor("h1").alias("c")
-        )
-        # of three, what is left besides the least and the greatest is their sum of bits
-        of = of.where("n <= 3").select("n", "a", "b", F.when(F.col("n") == 3, F.expr("a ^ b ^ c")).alias("c"))
-        who = F.when(F.col("n") == 1, F.array("a")).when(F.col("n") == 2, F.array("a", "b")).otherwise(F.array("a", "c", "b"))
-        of = cut(of.select("n", who.alias("who")))
-        release(mine.sparkSession)
-        rare = of.select(F.explode("who").alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("rare"))
-        sized = mine.select("h1", F.size("s").alias("n"), firsts("s").alias("v")).join(small(cut(rare), PAIRS), "h1", "left")
-        common = (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common")
-        sized = cut(sized.select(F.col("h1").alias("id"), F.struct("n", common, bitmap(F.col("v")).alias("bits"), F.size("v").alias("set")).alias("hint")))
-        release(sized.sparkSession)
-        w = F.col("who")
-        both = F.when(F.col("n") == 2, F.array(F.struct(w[0].alias("a"), w[1].alias("b"))))
-        both = both.otherwise(F.array(*[F.struct(w[i].alias("a"), w[j].alias("b")) for i, j in ((0, 1), (0, 2), (1, 2))]))
-        pairs = of.where("n > 1").select(F.explode(both).alias("p")).select("p.a", "p.b")
-        # ids are signed, and least and greatest may stand either way round the third
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-        ends = [sized.select(F.col("id").alias(x), F.col("hint").alias(f"h{x}")) for x in "ab"]
-        pairs = pairs.join(ends[0], "a").join(ends[1], "b").where(similar_at_best(F.col("ha"), F.col("hb"), F.col("shared")))
-        return sized, cut(pairs.select("a", "b"))
-
-
-def similar_at_best(x: Column, y: Column, shared: Column) -> Column:
-    """Whether two lines could be similar that share so many uncommon shingles."""
-    both = F.least(x["common"], y["common"]) + shared
-    return both >= SIMILARITY * (x["n"] + y["n"] - both)
+    def hinter(self, ids: DataFrame) -> tuple[DataFrame, None]:
+        """id, hint: the number of a line's shingles, and a bitmap of them. A line's own shingles are all that is looked
+        at, for what is gathered by shingle, over all lines, takes many times the disk of the lines."""
+        mine = self.texts.join(small(ids.select(F.col("id").alias("h1")), 200_000), "h1").select("h1", shingles(F.col("line")).alias("s"))
+        mine = mine.select("h1", F.size("s").alias("n"), firsts("s").alias("v"))
+        return cut(mine.select(F.col("h1").alias("id"), F.struct("n", bitmap(F.col("v")).alias("bits"), F.size("v").alias("set")).alias("hint"))), None
+
+
+def similar_with(m: Column, n: Column, both: Column) -> Column:
+    """Whether lines of m and n shingles are similar that share so many."""
+    return both >= SIMILARITY * (m + n - both)
+
+
+def similar(one: Column, two: Column) -> Column:
+    """Whether two lines have an exact Jaccard similarity of SIMILARITY or more. One expression that names the shingles of
+    each line once: columns of them are put in wherever they are used, and a line's shingles made as often."""
+
+    def of_sets(p: Column) -> Column:
+        m, n = F.size(p["x"]), F.size(p["y"])
+        shared = F.transform(F.array(F.size(F.array_intersect(p["x"], p["y"]))), lambda both: similar_with(m, n, both))
+        return similar_with(m, n, F.least(m, n)) & F.element_at(shared, 1)
+
+    both = F.struct(shingles(one).alias("x"), shingles(two).alias("y"))
+    return F.element_at(F.transform(F.array(both), of_sets), 1)
 
 
 def firsts(s: str) -> Column:
@@ -171,26 +160,28 @@ def bitmap(values: Column) -> Column:
 
 
 def close(x: Column, y: Column, once: Column) -> Column:
-    """Of two lines that share no uncommon shingle: false if these, or the bits that only one of them has, are too many."""
+    """False if the numbers of two lines' shingles, or the bits that only one of them has, are too far apart."""
     zero = F.lit(0)
     shared = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseAND(b))), zero, lambda s, v: s + v)
     # a bit that only one has is of a shingle that only it has
     both = F.least(x["n"] - x["set"], y["n"] - y["set"]) + shared
-    return similar_at_best(x, y, zero) & once & (both >= SIMILARITY * (x["n"] + y["n"] - both))
+    return similar_with(x["n"], y["n"], F.least(x["n"], y["n"])) & once & similar_with(x["n"], y["n"], both)
 
 
 def decisions(docs: DataFrame) -> DataFrame:
     """doc, pos of the lines that go."""
     lines = lines_of(docs)
-    signed = signed_lines(lines).persist()
+    # the signatures go as soon as the buckets are known, not to lie on disk beside what follows
+    held = [signed_lines(lines).persist()]
+    again = cut(held[0].where("times > 1").select("h1"))
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{(b + d) % MINS}") for d in BAND]) for b in range(MINS)]
-    rows = signed.select(F.col("h1").alias("id"), F.explode(F.array(*bands)).alias("bucket"))
+    rows = [held[0].select(F.col("h1").alias("id"), F.explode(F.array(*bands)).alias("bucket"))]
     candidates = Lines(lines)
-    links = cut(links_in_buckets(rows, candidates.verifier, close, candidates.hinter))
-    roots = components(links)
-    known = signed.select("h1", "times").join(roots.withColumnRenamed("id", "h1"), "h1", "left")
-    known = cut(known.where("times > 1 or root is not null").select("h1", F.coalesce("root", "h1").alias("root")))
-    signed.unpersist()
+    links = cut(links_in_buckets(rows.pop(), candidates.verifier, close, candidates.hinter, after=lambda: held.pop().unpersist()))
+    roots = components(links).withColumnRenamed("id", "h1")
+    # all linked lines have a root, whether they come up once or more often
+    known = cut(again.join(roots, "h1", "full").select("h1", F.coalesce("root", "h1").alias("root")))
+    del again, candidates
     x = cut(lines.select("doc", "pos", "h1").join(small(known), "h1").select("doc", "pos", "root"))
     stays = cut(x.groupBy("root").agg(F.min(F.struct("doc", "pos")).alias("stays")))
     return x.join(small(stays), "root").where(F.struct("doc", "pos") != F.col("stays")).select("doc", "pos")

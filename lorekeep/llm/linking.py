@@ -47,6 +47,7 @@ def links_in_buckets(
     close: Close | None = None,
     hinter: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None,
     few: int = FEW,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Links (a, b), a < b, that connect what the verified pairs of all buckets connect.
 
@@ -56,6 +57,7 @@ def links_in_buckets(
     only if the condition is, or if the pair would not be linked.
     hinter: the ids of buckets that are open after the first round -> id, hint, where hints belong to the node; and pairs
     (a, b) of them to be tested whatever close says, if any.
+    after: called when rows are not read any more. The caller holds on to no frame they come from.
     """
     spark = rows.sparkSession
     # counted first without more of a member than its bucket, as most have one alone
@@ -82,6 +84,8 @@ def links_in_buckets(
     ends = cut(ends.unionByName(here.select("id")).distinct())
     # checkpoints last as long as their frames
     del rows, shared, sizes, several
+    if after:
+        after()
     release(spark)
     verify = verifier(ends)
     del ends

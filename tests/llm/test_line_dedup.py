@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lorekeep.llm import line_dedup
+from lorekeep.llm.common import counted
 
 from .test_near_dup import roots
 
@@ -121,3 +122,42 @@ def test_only_the_texts_of_few_pairs_are_sent(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found[0] == found[1] and {(a, a + 1) for a in range(0, 40, 2)} <= set(found[0])
     assert "BroadcastHashJoin" not in plans[0] and "BroadcastHashJoin" in plans[1]
+
+
+def test_hints_come_from_each_line_alone(spark, monkeypatch):
+    """No row a shingle, which took the disk of many times the lines; and close tells no similar lines apart."""
+    made = sorted({x for _, t in corpus(4) if t for x in t.split("\n") if x.strip()})
+    lines = line_dedup.cut(spark.createDataFrame(list(enumerate(made)), "h1 long, line string"))
+    ids, plans, real = line_dedup.cut(lines.select(F.col("h1").alias("id"))), [], line_dedup.cut
+    candidates = line_dedup.Lines(lines)
+    verify = candidates.verifier(ids)
+    monkeypatch.setattr(line_dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or real(df))
+    hints, more = candidates.hinter(ids)
+    assert more is None and len(plans) == 1 and "Generate" not in plans[0]
+    x, y = (hints.select(F.col("id").alias(i), F.col("hint").alias(f"h{i}")) for i in "ab")
+    pairs = real(x.crossJoin(y).where("a < b"))
+    far = pairs.where(~line_dedup.close(F.col("ha"), F.col("hb"), F.lit(True))).select("a", "b")
+    sets = [shingles(t) for t in made]
+    want = {(a, b) for b in range(len(made)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in verify(real(pairs.select("a", "b"))).collect()} == want
+    apart = {tuple(r) for r in far.collect()}
+    assert want and not want & apart and len(apart) > 0.9 * (counted(pairs) - len(want))
+
+
+def test_verification_makes_the_shingles_of_a_line_once(spark):
+    lines = line_dedup.cut(spark.createDataFrame([(i, f"line {i} with words") for i in range(9)], "h1 long, line string"))
+    verify = line_dedup.Lines(lines).verifier(line_dedup.cut(lines.select(F.col("h1").alias("id"))))
+    out = verify(line_dedup.cut(spark.createDataFrame([(a, a + 1) for a in range(8)], "a long, b long")))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 2
+
+
+def test_signatures_go_before_lines_are_verified(spark, monkeypatch):
+    seen, real = [], line_dedup.Lines.verifier
+
+    def verifier(self, ids):
+        seen.append(spark._jsparkSession.sharedState().cacheManager().isEmpty())
+        return real(self, ids)
+
+    spark.catalog.clearCache()
+    monkeypatch.setattr(line_dedup.Lines, "verifier", verifier)
+    assert line_dedup.decisions(spark.createDataFrame(corpus()[:40], "doc_id long, text string")).count() and seen == [True]
