@@ -122,3 +122,29 @@ def test_places_of_a_node_leave_together(spark):
 
     found = linking.links_in_buckets(rows, lambda ids: verify, close=lambda x, y, once: F.lit(True))
     assert not found.count() and rounds[0] and len([n for n in rounds if n]) <= 2
+
+
+def test_finished_buckets_leave_before_places_are_dealt_out(spark, monkeypatch):
+    """Of buckets whose members are of one component no place is looked at again, and places with hints are not gathered
+    before the buckets that are enough are known."""
+    rows = spark.createDataFrame([(b, b % 100 * 5 + i, (0,)) for b in range(300) for i in range(5)], "bucket long, id long, hint struct<k: int>")
+    places, gathered = [], []
+    real, real_cut = linking.without, linking.cut
+
+    def without(here, chosen):
+        places.append(here.count())
+        return real(here, chosen)
+
+    def cut(df):
+        out = real_cut(df)
+        gathered.append((df.columns, linking.counted(out)))
+        return out
+
+    monkeypatch.setattr(linking, "without", without)
+    monkeypatch.setattr(linking, "cut", cut)
+    alike = lambda ids: lambda pairs: pairs.where("a div 5 = b div 5")
+    got = linking.components(linking.links_in_buckets(rows, alike, close=lambda x, y, once: F.lit(True)))
+    assert {r.id: r.root for r in got.collect()} == {i: i - i % 5 for i in range(500)}
+    assert places == [0]
+    # 300 buckets, of which 100 are enough
+    assert max(n for columns, n in gathered if "hint" in columns) == 500
