@@ -20,8 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Pieces kept with their ids in a worker, in two generations of so many; a full young one takes the old one's place.
-MEMO_PIECES = 600_000
+from .common import keeps
+
+#: Pieces kept with their ids in a worker, in two generations of so many, 0.1 GB each; a full young one takes the old one's place.
+MEMO_PIECES = 400_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -130,15 +132,12 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec(data: bytes, pattern: str) -> Codec:
     """One codec per worker process and vocabulary."""
-    key = hashlib.sha1(data + pattern.encode()).digest()
-    if key not in _codecs:
-        _codecs[key] = Codec(data, pattern)
-    return _codecs[key]
+    key, codecs = hashlib.sha1(data + pattern.encode()).digest(), keeps("bpe")
+    if key not in codecs:
+        codecs[key] = Codec(data, pattern)
+    return codecs[key]
 
 
 def _batches(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[list, list]]:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, small, text_of
+from .common import cut, keeps, small, text_of
 
 ORDER, BITS = 5, 12
 BROADCAST_GRAMS = 4_000_000
@@ -128,6 +128,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """g, c: the order-5 n-grams of all texts."""
 
     def run(batches):
+        keeps("quality")
         for batch in batches:
             texts = [t.as_py() for t in batch.column(0)]
             for s in parts(texts):
@@ -178,9 +179,6 @@ def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t.column(0).to_numpy(), t.column(1).to_numpy()
 
 
-_models: dict[str, Model] = {}
-
-
 def perplexities(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """doc_id, lang, mark (a hash of the text), perplexity for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
@@ -191,10 +189,11 @@ def perplexities(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) ->
     key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}"
 
     def run(batches):
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(*shared.value)
-        model = _models[key]
+        models = keeps("quality")
+        if key not in models:
+            models.clear()
+            models[key] = Model(*shared.value)
+        model = models[key]
         for batch in batches:
             texts = [t.as_py() for t in batch.column(3)]
             out = np.full(len(texts), np.nan)
@@ -213,6 +212,7 @@ def sharded(rows: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataF
     """The same by joins: the distinct n-grams of each text meet the tables, shard by shard."""
 
     def run(batches):
+        keeps("quality")
         for batch in batches:
             for i, lang, mark, text in zip(*batch.columns, strict=True):
                 g, n = np.unique(codes([text.as_py()])[0], return_counts=True)
