@@ -128,3 +128,21 @@ def test_recall_by_edits(spark):
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.classes(df).count() == 0 and near_dup.one_of_each(df).count() == 0
+
+
+def test_a_group_of_pairs_gets_a_text_once(spark):
+    """All pairs of 40 texts, and pairs of others: those that pass are the same, and texts come once a group."""
+    n = 40
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(200)]
+    ids = sorted({i for p in pairs for i in p} - {1001})  # a pair without its text is not linked
+    texts = near_dup.cut(spark.createDataFrame([(i, f"text {i}") for i in ids], "h1 long, text string"))
+    sent = spark.sparkContext.accumulator(0)
+
+    def tested(some, held):
+        sent.add(len(held))
+        assert all(held[i].as_py() == f"text {i}" for p in some for i in p)
+        return [(a + b) % 3 == 0 for a, b in some]
+
+    found = near_dup.in_groups(near_dup.cut(spark.createDataFrame(pairs, "a long, b long")), texts, tested)
+    assert sorted(map(tuple, found.collect())) == [p for p in pairs if sum(p) % 3 == 0 and 1001 not in p]
+    assert len(ids) <= sent.value <= 1.5 * len(pairs)  # by the pair there were two each
